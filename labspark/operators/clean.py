@@ -120,15 +120,20 @@ def _superseded(df, group, t, issued):
     return join_nullsafe(df, groups, group).withColumn("__old", F.coalesce(old, F.lit(False)))
 
 
-def dedupe_repeats(df: DataFrame, group=("patient", "time", "code"), t="time", issued="issued") -> DataFrame:
+def dedupe_repeats(df: DataFrame, group=("patient", "time", "code"), t="time", issued="issued",
+                   scope: str | None = None) -> DataFrame:
     """Keeps the latest issued rows of every group of repeats; ties stay.
 
-    Nothing is removed unless some row of the table was issued after its own time, which shows that
-    ``issued`` carries information at all.
+    Nothing is removed unless some row of the table (of the same ``scope`` value, if given) was
+    issued after its own time, which shows that ``issued`` carries information at all.
     """
     group = as_list(group)
-    informative = df.agg(F.coalesce(F.bool_or(F.col(issued) > F.col(t)), F.lit(False)).alias("x")).scalar()
-    return _superseded(df, group, t, issued).filter(~(F.col("__old") & informative)).select(*df.columns)
+    later = F.coalesce(F.bool_or(F.col(issued) > F.col(t)), F.lit(False))
+    rows = _superseded(df, group, t, issued)
+    if scope is None:
+        return rows.filter(~(F.col("__old") & df.agg(later.alias("x")).scalar())).select(*df.columns)
+    rows = join_nullsafe(rows, df.groupBy(scope).agg(later.alias("__later")), scope)
+    return rows.filter(~(F.col("__old") & F.col("__later"))).select(*df.columns)
 
 
 def dedupe_counts(df: DataFrame, group=("patient", "time", "code"), t="time", issued="issued") -> DataFrame:

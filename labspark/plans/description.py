@@ -9,6 +9,8 @@ from labspark.functions.privacy import k_mask
 from labspark.operators import describe
 
 KEYS = ("code", "unit")
+STATISTICS_COLUMNS = ("obs_id", "code", "value", "unit", "ref_low", "ref_high", "ref_high_unit", "ref_low_unit", "comparator", "value_compare",
+                      "time", "gender", "age", "pat_id", "patient")
 
 
 def cohort_distribution(df: DataFrame, cohorts=None, keys=KEYS) -> DataFrame:
@@ -34,7 +36,7 @@ def describe_measurements(base: DataFrame, raw: DataFrame | None = None, k: int
     ``base`` is the cleaned measurement table with value_compare, age and gender; ``raw`` the
     status-filtered extract for the completeness table.
     """
-    rows = base.distinct()
+    rows = base.select(*[c for c in STATISTICS_COLUMNS if c in base.columns]).distinct()
     stats = describe.value_statistics(describe.with_cohorts(rows, cohorts), [*describe.COHORT_COLUMNS, *KEYS])
     out = {
         "statistics": k_mask(stats, "n_pat", [*describe.COHORT_COLUMNS, *KEYS], k),

@@ -65,9 +65,60 @@ SELECT l_orderkey * 10 + l_linenumber AS pro_id, o_custkey AS patient, CASE WHEN
  CASE WHEN l_linenumber = 5 THEN l_shipdate + INTERVAL '10' HOUR WHEN l_linenumber = 6 THEN l_shipdate END AS period_end,
  CASE WHEN l_linenumber = 7 THEN l_shipdate END AS performed FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber >= 5""",
 }
+# A whole study shaped like the typed extracts: every table of the input contract with text ids.
+_T = "l_shipdate + INTERVAL '1' HOUR * CAST((l_partkey % 12) * 4 AS INT)"
+ADAPTERS.update({
+    "st_lab": f"""
+SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS obs_id,
+ concat(l_returnflag, l_linestatus) AS code, CASE WHEN l_suppkey % 50 = 7 THEN 'local' ELSE 'http://loinc.org' END AS code_system, l_quantity / 6 AS value,
+ CASE l_suppkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'meq/L' WHEN 2 THEN 'bad' ELSE 'mmol/L' END AS unit,
+ CASE l_partkey % 40 WHEN 3 THEN '<' WHEN 5 THEN ' > ' WHEN 8 THEN '>=' END AS comparator,
+ CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE concat('id', CAST(l_orderkey AS STRING)) END AS identifier,
+ CASE WHEN l_partkey % 5 = 0 THEN 5.2 + l_partkey % 3 END AS ref_high, CASE WHEN l_partkey % 3 = 0 THEN 3.1 ELSE NULL END AS ref_low,
+ CASE WHEN l_partkey % 5 = 0 THEN 'mmol/L' END AS ref_high_unit, CASE WHEN l_partkey % 3 = 0 THEN 'mmol/L' END AS ref_low_unit,
+ CASE WHEN l_partkey % 2 = 0 THEN 'normal' END AS ref_type, {_T} AS time, {_T} + INTERVAL '1' HOUR * CAST(l_linenumber % 3 AS INT) AS issued,
+ concat('Patient/', CAST(o_custkey AS STRING)) AS patient, CASE l_partkey % 60 WHEN 1 THEN 'cancelled' WHEN 2 THEN NULL ELSE 'final' END AS status,
+ CASE WHEN l_partkey % 9 = 0 THEN 'H' END AS interpretation, CASE WHEN l_partkey % 11 = 0 THEN concat('c', CAST(l_partkey % 3 AS STRING)) END AS value_code,
+ CASE WHEN l_partkey % 11 = 0 THEN 'sys' END AS value_code_system, CASE WHEN l_partkey % 3 > 0 THEN concat('Specimen/', CAST(l_suppkey AS STRING)) END AS specimen_ref,
+ concat('Encounter/', CAST(l_orderkey AS STRING)) AS encounter, CASE WHEN l_partkey % 13 = 0 THEN concat('sample ', p_name, ' hämolytisch') ELSE p_name END AS note,
+ concat('ServiceRequest/', CAST(l_orderkey AS STRING)) AS basedon, CASE WHEN l_partkey % 7 = 0 THEN p_brand END AS method_code,
+ CASE WHEN l_partkey % 7 = 0 THEN 'm' END AS method_system
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey""",
+    "st_patients": "SELECT CAST(pat_id AS STRING) AS pat_id, birth_raw, gender FROM fx_patients",
+    "st_enc": """
+SELECT CAST(enc_id AS STRING) AS enc_id, concat('Patient/', CAST(patient AS STRING)) AS patient, class, period_start, period_end, type,
+ CASE WHEN enc_id % 9 = 0 THEN NULL WHEN enc_id % 31 = 0 THEN 'other' ELSE 'http://fhir.de/CodeSystem/Kontaktebene' END AS type_system,
+ CASE WHEN enc_id % 37 = 0 THEN 'planned' ELSE 'finished' END AS status FROM fx_enc""",
+    "st_med_coded": """
+SELECT CAST(adm_id AS STRING) AS adm_id, concat('Patient/', CAST(patient AS STRING)) AS patient, CASE WHEN adm_id % 41 = 0 THEN 'stopped' END AS status,
+ period_start, period_end, effective, encounter, code FROM fx_med WHERE code IS NOT NULL""",
+    "st_med_one": """
+SELECT CAST(adm_id AS STRING) AS adm_id, concat('Patient/', CAST(patient AS STRING)) AS patient, CASE WHEN adm_id % 41 = 0 THEN 'stopped' END AS status,
+ period_start, period_end, effective, encounter, med_ref FROM fx_med WHERE code IS NULL AND adm_id % 3 = 0""",
+    "st_med_two": """
+SELECT CAST(adm_id AS STRING) AS adm_id, concat('Patient/', CAST(patient AS STRING)) AS patient, CASE WHEN adm_id % 41 = 0 THEN 'stopped' END AS status,
+ period_start, period_end, effective, encounter, med_ref FROM fx_med WHERE code IS NULL AND adm_id % 3 > 0""",
+    "st_medication": "SELECT CAST(med_id AS STRING) AS med_id, code, med_med_ref FROM fx_medication",
+    "st_proc": """
+SELECT CAST(pro_id AS STRING) AS pro_id, concat('Patient/', CAST(patient AS STRING)) AS patient, CASE WHEN pro_id % 43 = 0 THEN 'not-done' END AS status,
+ CASE pro_id % 4 WHEN 0 THEN '8-854.2' WHEN 1 THEN '5-123' WHEN 2 THEN '8-857.1' END AS ops, CASE WHEN pro_id % 3 = 0 THEN '302497006' END AS snomed,
+ period_start, period_end, performed, concat('Encounter/', CAST(pro_id AS STRING)) AS encounter FROM fx_proc""",
+    "st_device": """
+SELECT CAST(pro_id AS STRING) AS pro_id, performed, concat('Patient/', CAST(patient AS STRING)) AS patient, CASE WHEN pro_id % 47 = 0 THEN 'preliminary' END AS status,
+ period_start, period_end, concat('Encounter/', CAST(pro_id AS STRING)) AS encounter FROM fx_proc WHERE pro_id % 5 = 0""",
+    "st_cond": """
+SELECT CAST(con_id AS STRING) AS con_id, concat('Patient/', CAST(patient AS STRING)) AS patient, CASE WHEN con_id % 29 = 0 THEN 'remission' END AS status,
+ CASE WHEN con_id % 17 = 0 THEN 'refuted' ELSE 'confirmed' END AS verification, icd, time, concat('Encounter/', CAST(con_id AS STRING)) AS encounter FROM fx_cond""",
+    "st_specimens": """
+SELECT CAST(s_suppkey AS STRING) AS spec_id, 'p' AS patient, CASE WHEN s_nationkey % 2 = 0 THEN 'blood' END AS type,
+ CASE WHEN s_nationkey % 5 = 0 THEN 'lysed' END AS condition, 'sct' AS condition_system FROM supplier WHERE s_suppkey % 4 > 0""",
+})
 BASES = {"fx_obs": ("events",), "fx_dup_obs": ("fx_obs",), "fx_patients": ("customer",), "fx_line": ("lineitem", "orders"),
          "fx_enc": ("orders", "lineitem"), "fx_med": ("lineitem", "orders", "part"), "fx_medication": ("part",),
-         "fx_cond": ("orders",), "fx_proc": ("lineitem", "orders")}
+         "fx_cond": ("orders",), "fx_proc": ("lineitem", "orders"),
+         "st_lab": ("lineitem", "orders", "part"), "st_patients": ("fx_patients",), "st_enc": ("fx_enc",), "st_med_coded": ("fx_med",),
+         "st_med_one": ("fx_med",), "st_med_two": ("fx_med",), "st_medication": ("fx_medication",), "st_proc": ("fx_proc",),
+         "st_device": ("fx_proc",), "st_cond": ("fx_cond",), "st_specimens": ("supplier",)}
 
 UNIT_ROWS = [("click", "u1", "u1", 1.0), ("click", "u2", "u1", 18.02), ("view", "u1", "u1", 1.0), ("view", "u2", "invalid", None)]
 PREFIX_GROUPS = {"g1": ("Brand#1",), "g2": ("Brand#2", "Brand#3")}
