@@ -145,6 +145,7 @@ def bucket_to_interval(events: DataFrame, encounters: DataFrame, by="patient", t
     ones only matter when there is no other, and then only the one that ended last per class rank,
     so a lookup along time finds them.
     """
+    encounters = encounters.select(by, enc_id, "class", "period_start", "period_end")
     win = encounter_windows(encounters).withColumn("__rank", F.when(F.col("class").isin(*INPATIENT_CLASSES), 1).otherwise(2))
     ev = events.select(event_id, by, t).dropna()
 

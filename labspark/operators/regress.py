@@ -268,6 +268,7 @@ def month_window(availability: DataFrame, name: str):
     return None if row is None or row["t_min"] is None else (row["t_min"], row["t_max"])
 
 
-def regressions(df: DataFrame, models: list[tuple[Model, DataFrame]], k: int = 5) -> DataFrame | None:
+def regressions(df: DataFrame, models: list[tuple[Model, DataFrame]], k: int = 5) -> DataFrame:
+    """All fits in one table; models without enough rows are left out."""
     fits = [f for f in (ols(rows, m, k) for m, rows in models) if f is not None]
-    return reduce(DataFrame.unionByName, fits) if fits else None
+    return reduce(DataFrame.unionByName, fits, df.sparkSession.createDataFrame([], RESULT_SCHEMA))

@@ -10,6 +10,7 @@ from labspark.functions.values import (classify, classify_detail, classify_one_s
                                        plausible)
 from labspark.operators import clean, resolve
 from labspark.operators.units import drop_invalid, normalize_units
+from labspark.session import materialize
 from labspark.spec import (COND_EXCLUDED, COND_VERIFICATION_EXCLUDED, DEVICE_OBS_EXCLUDED, ENC_EXCLUDED, MED_EXCLUDED, OBS_EXCLUDED,
                            PROC_EXCLUDED, Spec)
 
@@ -40,8 +41,9 @@ def raw_measurements(lab: DataFrame, pats: DataFrame, spec: Spec) -> DataFrame:
 
 def base_measurements(lab: DataFrame, pats: DataFrame, spec: Spec) -> DataFrame:
     """Main measurements without superseded repeats and extreme values, with a comparison value."""
-    rows = clean.dedupe_repeats(raw_measurements(lab, pats, spec), REPEAT_GROUP)
-    rows = rows.withColumn("value_compare", compare_value("value", "comparator", spec.digits))
+    raw = materialize(raw_measurements(lab, pats, spec), "measurements")
+    rows = clean.dedupe_repeats(raw, REPEAT_GROUP)
+    rows = materialize(rows.withColumn("value_compare", compare_value("value", "comparator", spec.digits)), "deduplicated")
     return clean.mad_filter(rows, ("code", "unit"), "value", spec.mad_cutoff)
 
 
@@ -126,6 +128,7 @@ def raw_labs(lab: DataFrame, spec: Spec) -> DataFrame:
     rows = usable_lab(lab, spec, codes).withColumn("label", label_codes("code", spec.lab_codes)).select(
         "obs_id", "code", "value", "unit", "ref_low", "ref_high", "ref_high_unit", "ref_low_unit", "ref_type", "comparator", "patient", "value_code",
         "time", "issued", "encounter", "label").distinct()
+    rows = materialize(rows, "labs")
     return clean.dedupe_repeats(rows, REPEAT_GROUP, scope="label")
 
 
@@ -168,7 +171,7 @@ def conditions(raw: DataFrame, spec: Spec) -> DataFrame:
 def load_study(spark: SparkSession, sources: dict, units: DataFrame, spec: Spec) -> dict[str, DataFrame | None]:
     """All tables of a study from its typed extracts; kinds without a source are None."""
     get = sources.get
-    base = base_measurements(get("lab"), get("patients"), spec)
+    base = materialize(base_measurements(get("lab"), get("patients"), spec), "base")
     return {
         "base": base,
         "facts": classified_measurements(base, units, spec),

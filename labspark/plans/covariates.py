@@ -9,6 +9,7 @@ from labspark.functions.dates import hours, hours_between
 from labspark.functions.privacy import k_cells, k_mask
 from labspark.operators import cooccur, describe, intervals, regress, windows
 from labspark.operators.seek import Source, attach, seek
+from labspark.session import materialize
 from labspark.spec import Spec
 
 KEY = ["patient", "time"]
@@ -36,7 +37,11 @@ def covariate_table(facts: DataFrame, spec: Spec, encounters=None, medications=N
     (patient, time) of the measurements; conditions need a third because their window starts at the
     encounter. The results are joined to the measurements once.
     """
-    facts = with_context(facts, encounters)
+    # each of these is read several times below
+    facts = materialize(facts, "facts")
+    facts = materialize(with_context(facts, encounters), "context")
+    labs, medications, procedures, conditions = (None if d is None else materialize(d, n) for d, n in (
+        (labs, "labs"), (medications, "medications"), (procedures, "procedures"), (conditions, "conditions")))
     t = F.col("time")
     payload = F.struct("value_norm", "result", "result_detail", "enc_id")
     instants = facts.groupBy(*KEY).agg(F.max_by(payload, F.col("obs_id")).alias("__p"))
@@ -194,7 +199,7 @@ def followup_models(df: DataFrame, spec: Spec) -> list:
     return models
 
 
-def regressions(df: DataFrame, windows_: dict, spec: Spec) -> DataFrame | None:
+def regressions(df: DataFrame, windows_: dict, spec: Spec) -> DataFrame:
     models = covariate_models(df, windows_, spec) + outcome_models(df, windows_, spec) + followup_models(df, spec)
     return regress.regressions(df, models, spec.k)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the plans rely on for speed; results do not depend on them.
 DEFAULTS = {
@@ -44,8 +44,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/labspark/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(spark: SparkSession, df, name: str):
-    """Write ``df`` once below the shared folder and read it back, cutting its lineage."""
-    path = scratch_path(spark, name)
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` once below the shared folder and reads it back.
+
+    Later steps start from the stored table: it is computed once however often they use it, a lost
+    executor costs no recomputation of what came before, and plans stay small.
+    """
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
