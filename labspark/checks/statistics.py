@@ -146,15 +146,24 @@ def regression_exclusions(t):
 
 
 _RES = {"resultL": "CASE WHEN result = 'L' THEN 1 ELSE 0 END", "resultH": "CASE WHEN result = 'H' THEN 1 ELSE 0 END"}
-_TIMING = sql_ols("SELECT *, age - avg(age) OVER () AS age_c FROM wide WHERE gender IN ('male', 'female') AND age IS NOT NULL AND next_flag = 1 AND next_hours <= 120",
-                  {**_X, **_RES}, "next_hours", "next_k_timing_categorical_all", p="a")
-_OCCURRED = sql_ols("SELECT *, age - avg(age) OVER () AS age_c FROM wide WHERE gender IN ('male', 'female') AND age IS NOT NULL",
-                    {**_X, **_RES}, "CASE WHEN next_flag = 1 AND next_hours <= 120 THEN 1 ELSE 0 END", "next_k_occurred_all", p="b")
-_OCC_FIRST = sql_ols("SELECT *, age - avg(age) OVER () AS age_c FROM wide WHERE gender IN ('male', 'female') AND age IS NOT NULL AND first = 1",
-                     {**_X, **_RES}, "CASE WHEN next_flag = 1 AND next_hours <= 120 THEN 1 ELSE 0 END", "next_k_occurred_only_first", p="c")
+_IN_TIME = "next_flag = 1 AND next_hours <= 120"
+_OCCURRED = f"CASE WHEN {_IN_TIME} THEN 1 ELSE 0 END"
 
 
-@query("followup_regressions", WIDE + f", {_TIMING[0]}, {_OCCURRED[0]}, {_OCC_FIRST[0]}\n{_TIMING[1]} UNION ALL {_OCCURRED[1]} UNION ALL {_OCC_FIRST[1]}")
+def _followup_sql(where, y, source, p):
+    """A model on rows of the covariate table, left out unless every level has at least 5 rows."""
+    base = f"SELECT *, {y} AS outcome FROM wide WHERE gender IN ('male', 'female') AND age IS NOT NULL AND {where}"
+    ctes, select = sql_ols(f"SELECT *, age - avg(age) OVER () AS age_c FROM ({base}) r", {**_X, **_RES}, "outcome", source, p=p)
+    levels = ["gender", "result"] + ([] if y == "next_hours" else ["outcome"])
+    valid = " AND ".join(f"(SELECT count(*) >= 2 AND min(n) >= 5 FROM (SELECT {c}, count(*) AS n FROM ({base}) r GROUP BY {c}))" for c in levels)
+    return ctes, f"{select} WHERE {valid}"
+
+
+_FOLLOWUP = [_followup_sql(_IN_TIME, "next_hours", "next_k_timing_categorical_all", "a"), _followup_sql("TRUE", _OCCURRED, "next_k_occurred_all", "b"),
+             _followup_sql("first = 1", _OCCURRED, "next_k_occurred_only_first", "c")]
+
+
+@query("followup_regressions", WIDE + ", " + ", ".join(c for c, _ in _FOLLOWUP) + "\n" + " UNION ALL ".join(q for _, q in _FOLLOWUP))
 def followup_regressions(t):
     table, _ = regression_table(t)
     wanted = ("next_k_timing_categorical_all", "next_k_occurred_all", "next_k_occurred_only_first")
