@@ -33,3 +33,17 @@ def add_all(cols) -> Column:
 def flag(cond: Column) -> Column:
     """1 where the condition holds, 0 otherwise (also for NULL)."""
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
+
+
+def join_optional(left: DataFrame, right: DataFrame, left_key, right_key: str, how: str = "left", spread: int = 1024) -> DataFrame:
+    """Equi-join on a key that many rows of ``left`` lack.
+
+    Rows without key match nothing, but would all be sent to one task; they get one of ``spread``
+    keys that no row of ``right`` has, chosen by the content of the row.
+    """
+    key = as_col(left_key)
+    text = key.cast("string")
+    filler = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*left.columns), F.lit(spread)).cast("string"))
+    return (left.withColumn("__key", F.coalesce(text, filler))
+            .join(right.withColumn("__key", F.col(right_key).cast("string")).filter(F.col("__key").isNotNull()), "__key", how)
+            .drop("__key"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from labspark.functions.columns import as_list, flag
+from labspark.functions.columns import as_list, flag, join_optional
 from labspark.functions.dates import day_of, days, micros_between
 from labspark.operators.seek import BUCKET_DAYS, Source, attach, seek, time_bucket
 from labspark.spec import INPATIENT_CLASSES
@@ -32,10 +32,14 @@ def in_interval(points: DataFrame, intervals: DataFrame, by, t, enc_id="enc_id",
     longer one, so the join stays near the number of points.
     """
     by = as_list(by)
-    spans = longest_only(intervals, by, enc_id, start, end).withColumn(
-        "__bucket", F.explode(F.sequence(time_bucket(start, bucket_days), time_bucket(end, bucket_days))))
     instants = (points.select(*by, t).dropna().distinct()
                 .withColumn("__bucket", time_bucket(t, bucket_days)))
+    # buckets without any point are not needed: an end far in the future costs nothing
+    span = points.agg(F.struct(F.min(time_bucket(t, bucket_days)).alias("lo"), F.max(time_bucket(t, bucket_days)).alias("hi")).alias("d")).scalar()
+    spans = longest_only(intervals, by, enc_id, start, end).withColumns({
+        "__lo": F.greatest(time_bucket(start, bucket_days), span["lo"]), "__hi": F.least(time_bucket(end, bucket_days), span["hi"])})
+    spans = (spans.filter(F.col("__lo") <= F.col("__hi"))
+             .withColumn("__bucket", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi"))
     hits = (instants.join(spans, [*by, "__bucket"])
             .filter((F.col(t) >= F.col(start)) & (F.col(t) <= F.col(end))))
     best = F.struct((-micros_between(start, end)).alias("d"), F.col(enc_id).alias("id"),
@@ -72,8 +76,8 @@ def first_in_interval(df: DataFrame, interval="enc_id", t="time", name="first")
     """1 for the single earliest row of each interval; rows that share the earliest time get 0."""
     per_instant = df.filter(F.col(interval).isNotNull()).groupBy(interval, t).count()
     first = (per_instant.groupBy(interval).agg(F.min(F.struct(t, "count")).alias("__f"))
-             .select(interval, F.col("__f")[t].alias("__t"), F.col("__f")["count"].alias("__n")))
-    return (df.join(first, interval, "left")
+             .select(F.col(interval).alias("__interval"), F.col("__f")[t].alias("__t"), F.col("__f")["count"].alias("__n")))
+    return (join_optional(df, first, interval, "__interval")
             .select(*df.columns, flag((F.col(t) == F.col("__t")) & (F.col("__n") == 1)).alias(name)))
 
 
@@ -149,9 +153,11 @@ def bucket_to_interval(events: DataFrame, encounters: DataFrame, by="patient", t
     win = encounter_windows(encounters).withColumn("__rank", F.when(F.col("class").isin(*INPATIENT_CLASSES), 1).otherwise(2))
     ev = events.select(event_id, by, t).dropna()
 
-    near = (win.filter(F.col("win_start") <= F.col("win_end") + days(14))
-            .withColumn("__bucket", F.explode(F.sequence(
-                time_bucket("win_start", bucket_days), time_bucket(F.col("win_end") + days(14), bucket_days)))))
+    span = ev.agg(F.struct(F.min(time_bucket(t, bucket_days)).alias("lo"), F.max(time_bucket(t, bucket_days)).alias("hi")).alias("d")).scalar()
+    near = (win.withColumns({"__lo": F.greatest(time_bucket("win_start", bucket_days), span["lo"]),
+                             "__hi": F.least(time_bucket(F.col("win_end") + days(14), bucket_days), span["hi"])})
+            .filter(F.col("__lo") <= F.col("__hi"))
+            .withColumn("__bucket", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi"))
     label = _bucket_of(t)
     gap = F.abs(micros_between(F.when(F.col("b").isin(*_FROM_END), F.col("period_end")).otherwise(F.col("period_start")), t))
     order = None

@@ -6,15 +6,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from labspark.functions.columns import as_list
+from labspark.functions.columns import as_list, join_optional
 from labspark.functions.values import ref_id
 
 
 def resolve(df: DataFrame, ref: str, dim: DataFrame, kind: str, dim_id: str, keep=None, how="left") -> DataFrame:
     """Joins the resource that ``ref`` (``Type/<id>``) points to; ``keep`` limits its columns."""
-    cols = [c for c in (keep or dim.columns)]
-    right = dim.select(*cols, ref_id(kind, dim_id).alias("__ref"))
-    return df.join(right, df[ref] == right["__ref"], how).drop("__ref")
+    right = dim.select(*(keep or dim.columns), ref_id(kind, dim_id).alias("__ref"))
+    return join_optional(df, right, ref, "__ref", how).drop("__ref")
 
 
 def resolve_one_hop(adm: DataFrame, med: DataFrame, ref="med_ref") -> DataFrame:
@@ -51,12 +50,13 @@ def match_on(df: DataFrame, other: DataFrame, on, left: dict, right: dict) -> Da
 def reference_types(df: DataFrame, encounters: DataFrame, ref="encounter") -> DataFrame:
     """What the encounter references of a table point to, as counts."""
     dim = encounters.select("enc_id", F.col("type").alias("__type"))
-    joined = resolve(df.select(ref), ref, dim, "Encounter", "enc_id")
+    # references are counted first, so that the join sees each of them once
+    joined = resolve(df.groupBy(ref).agg(F.count(F.lit(1)).alias("__n")), ref, dim, "Encounter", "enc_id")
     label = (F.when(F.col(ref).isNull(), "no_encounter_reference")
              .when(F.col("enc_id").isNull(), "encounter_reference_without_match")
              .when(F.col("__type").isNull(), "encounter_type_is_null")
              .otherwise(F.col("__type")))
-    return joined.groupBy(label.alias("encounter_type")).agg(F.count(F.lit(1)).alias("n"))
+    return joined.groupBy(label.alias("encounter_type")).agg(F.sum("__n").alias("n"))
 
 
 def union_sources(*dfs: DataFrame | None) -> DataFrame | None:
