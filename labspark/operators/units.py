@@ -27,14 +27,17 @@ def normalize_units(df: DataFrame, units: DataFrame, label="label", unit="unit",
 
 
 def drop_invalid(df: DataFrame, units: DataFrame, label="label", unit="unit") -> DataFrame:
-    """Removes rows whose unit is marked invalid for their label.
+    """Removes rows whose unit is marked invalid for their label (a column name or a constant).
 
     A label that has any invalid unit also loses its rows without unit.
     """
     bad = units.filter(F.col("target_unit") == "invalid").select(
         F.col("label").alias("__l"), F.col("source_unit").alias("__u"))
-    has_bad = bad.select("__l").distinct()
     rows = df.join(bad, (as_col(label) == bad["__l"]) & (df[unit] == bad["__u"]), "left_anti")
+    if not isinstance(label, str):
+        any_bad = bad.filter(bad["__l"] == label).agg((F.count(F.lit(1)) > 0).alias("x")).scalar()
+        return rows.filter(F.col(unit).isNotNull() | ~any_bad)
+    has_bad = bad.select("__l").distinct()
     nulls = rows.filter(F.col(unit).isNull()).join(has_bad, as_col(label) == has_bad["__l"], "left_anti")
     return rows.filter(F.col(unit).isNotNull()).unionByName(nulls)
 
