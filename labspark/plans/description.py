@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from labspark.functions.columns import join_nullsafe
 from labspark.functions.privacy import k_mask
 from labspark.operators import describe
+from labspark.session import materialize
 
 KEYS = ("code", "unit")
 STATISTICS_COLUMNS = ("obs_id", "code", "value", "unit", "ref_low", "ref_high", "ref_high_unit", "ref_low_unit", "comparator", "value_compare",
@@ -36,12 +37,12 @@ def describe_measurements(base: DataFrame, raw: DataFrame | None = None, k: int
     ``base`` is the cleaned measurement table with value_compare, age and gender; ``raw`` the
     status-filtered extract for the completeness table.
     """
-    rows = base.select(*[c for c in STATISTICS_COLUMNS if c in base.columns]).distinct()
+    rows = materialize(base.select(*[c for c in STATISTICS_COLUMNS if c in base.columns]).distinct(), "described")
     stats = describe.value_statistics(describe.with_cohorts(rows, cohorts), [*describe.COHORT_COLUMNS, *KEYS])
     out = {
         "statistics": k_mask(stats, "n_pat", [*describe.COHORT_COLUMNS, *KEYS], k),
         "distribution": k_mask(cohort_distribution(rows, cohorts), "n", [*describe.COHORT_COLUMNS, *KEYS, "bin_start", "bin_end"], k),
-        "timeline": k_mask(describe.monthly_counts(base.select("code", "value", "unit", "obs_id", "time").distinct()), "n", [*KEYS, "month"], k),
+        "timeline": k_mask(describe.monthly_counts(rows.select("code", "value", "unit", "obs_id", "time").distinct()), "n", [*KEYS, "month"], k),
         "age_gender": describe.age_gender_report(rows),
     }
     if raw is not None:
