@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labspark.llm import quality_rules as rules
+from labspark.llm import license_scan, line_dedup, quality_rules as rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TEMPLATES = ", ".join(f"({i}, '{t.label}', {t.phrase}, {t.words})" for i, t in enumerate(license_scan.PHRASES + license_scan.NOTICES))
+_LICENSE_SQL = f"""WITH tpl(k, label, phrase, tw) AS (VALUES {_TEMPLATES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+vote AS (SELECT r, k, label, phrase, len(tw) - 1 AS m, p - q AS diag, p, q FROM (SELECT r, p, w[p] AS a, w[p + 1] AS b FROM d, unnest(range(1, len(w))) AS u(p))
+ JOIN (SELECT *, tw[q] AS a, tw[q + 1] AS b FROM tpl, unnest(range(1, len(tw))) AS u(q)) USING (a, b)),
+diags AS (SELECT r, k, label, phrase, m, diag, count(*) AS n, list(q) AS qs, min(p) AS lo, max(p) AS hi FROM vote GROUP BY ALL),
+grp AS (SELECT *, sum(CASE WHEN diag - prev <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY r, k ORDER BY diag) AS g FROM (SELECT *, lag(diag) OVER (PARTITION BY r, k ORDER BY diag) AS prev FROM diags)),
+span AS (SELECT r, k, label, phrase, m, g, len(list_distinct(flatten(list(qs)))) AS seen, max(hi) - min(lo) + 2 AS width, max(n) AS straight, count(*) FILTER (n = m) AS places,
+ min(diag) FILTER (n = m) AS a, max(diag) FILTER (n = m) AS z FROM grp GROUP BY ALL),
+sc AS (SELECT *, greatest(straight, CASE WHEN width <= 1.5 * (m + 1) + 3 THEN seen ELSE 0 END) / m AS score FROM span),
+res AS (SELECT r, sum(places) FILTER (phrase) AS n_base, min(a) FILTER (phrase) AS a, max(z) FILTER (phrase) AS z, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase AND places > 0) AS bl,
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN phrase THEN places > 0 ELSE score >= 0.7 END) AS ll, max(score) AS score FROM sc GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, a AS first_word, z AS last_word, coalesce(bl, '') AS base_labels, coalesce(ll, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN res USING (r)"""
+
+
+@_query("op1_license_scan", _LICENSE_SQL)
+def op1_license_scan(spark, sf_dir):
+    found = license_scan.scan(table(spark, sf_dir, "documents"))[1]
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+_LINES_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ln FROM documents),
+l AS (SELECT r, doc_id, i, ln[i] AS line, translate(trim(ln[i], {_BLANKS}), '{_UPPER}', '{_UPPER.lower()}') AS key FROM d, unnest(range(1, len(ln) + 1)) AS u(i)),
+s AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT l.*, coalesce(doc_id < keeper, false) AS gone FROM l LEFT JOIN s USING (key)) GROUP BY r"""
+
+
+@_query("op7_line_dedup", _LINES_SQL)
+def op7_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("doc_id", F.col("_lines.n").cast("long").alias("n_lines"), F.col("_lines.dropped").cast("long").alias("n_dropped"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 _STOP = ", ".join(f"'{w}', '{w.capitalize()}'" for w in rules.STOP_WORDS)
 _RULES_SQL = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 c AS (SELECT doc_id, r, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ln FROM d),
