@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labspark.llm import license_scan, line_dedup, quality_rules as rules
+from labspark.llm import license_scan, line_dedup, mixing, quality_rules as rules, sharding
+from labspark.llm.text import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +88,22 @@ def op9_quality_rules(spark, sf_dir):
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
                         (~base_failed & F.col("passes")).alias("kept"))
+
+
+@_query("op2_mix_sources")
+def op2_mix_sources(spark, sf_dir):
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    # equal rows of size 0 share a place; they stay apart by counting what is not taken
+    one = out.filter(F.col("copy").isNotNull()).groupBy("doc_id", *mixing.SOURCE, "place", "size", "source_size", "target").agg(
+        F.sum(F.when(F.col("shard").isNotNull(), F.col("size"))).alias("taken"))
+    none = out.filter(F.col("copy").isNull()).withColumn("taken", F.lit(0).cast("long"))
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    return one.select(cols).unionByName(none.select(cols))
+
+
+@_query("op8_shards")
+def op8_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = text_or_empty(docs)
+    out = sharding.stratified_shards(docs, 24, carry={"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(text)})
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
