@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labspark.llm import license_scan, line_dedup, mixing, quality_rules as rules, sharding
+from labspark.llm import byte_bpe, license_scan, line_dedup, mixing, quality_rules as rules, sharding
 from labspark.llm.text import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ def op8_shards(spark, sf_dir):
     text = text_or_empty(docs)
     out = sharding.stratified_shards(docs, 24, carry={"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(text)})
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query("op3_byte_bpe")
+def op3_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
