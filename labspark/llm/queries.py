@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labspark.llm import byte_bpe, license_scan, line_dedup, mixing, quality_rules as rules, sharding
+from labspark.llm import byte_bpe, license_scan, line_dedup, mixing, quality_gam, quality_rules as rules, sharding
 from labspark.llm.text import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,10 @@ def op8_shards(spark, sf_dir):
 def op3_byte_bpe(spark, sf_dir):
     import public_tokenizers
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query("op5_quality_gam")
+def op5_quality_gam(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_gam.score(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
