@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labspark.llm import byte_bpe, license_scan, line_dedup, mixing, quality_gam, quality_rules as rules, sharding
+from labspark.llm import byte_bpe, license_scan, line_dedup, mixing, one_bit_ann, quality_gam, quality_rules as rules, sharding
 from labspark.llm.text import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,12 @@ def op5_quality_gam(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = quality_gam.score(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query("op4_one_bit_ann", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+ AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score FROM e AS q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
+def op4_one_bit_ann(spark, sf_dir):
+    return one_bit_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
