@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labspark.llm import byte_bpe, license_scan, line_dedup, mixing, one_bit_ann, quality_gam, quality_rules as rules, sharding
+from labspark.llm import byte_bpe, jaccard_join, license_scan, line_dedup, mixing, one_bit_ann, quality_gam, quality_rules as rules, sharding
 from labspark.llm.text import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
 def op4_one_bit_ann(spark, sf_dir):
     return one_bit_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query("op10_jaccard_join")
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
