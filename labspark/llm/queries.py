@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labspark.llm import byte_bpe, jaccard_join, license_scan, line_dedup, mixing, one_bit_ann, quality_gam, quality_rules as rules, sharding
+from labspark.llm import byte_bpe, interpolated_lm, jaccard_join, license_scan, line_dedup, mixing, one_bit_ann, quality_gam, quality_rules as rules, sharding
 from labspark.llm.text import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ def op4_one_bit_ann(spark, sf_dir):
 @_query("op10_jaccard_join")
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_interpolated_lm")
+def op6_interpolated_lm(spark, sf_dir):
+    found = interpolated_lm.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
