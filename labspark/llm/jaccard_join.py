@@ -186,4 +186,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     without id stay, and equal rows of the document that stays are one document and stay together."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw)
     gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
