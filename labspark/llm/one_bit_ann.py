@@ -53,45 +53,56 @@ def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "em
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products, summed from the first component on, so that equal vectors score equally to the last bit."""
+    """Inner products of rows of ``x`` with ``q`` (one vector, or one per row), summed from the first component on,
+    so that equal vectors score equally to the last bit."""
     total = np.zeros(len(x))
-    for j, c in enumerate(q):
-        total += x[:, j] * c
+    for j in range(x.shape[1]):
+        total += x[:, j] * q[..., j]
     return total
 
 
-def _pair_search(k: int, first: int, sureness: float):
+def _pair_search(k: int, first: int, sureness: float, at_once: int = 128):
+    empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        q, x = np.stack(queries["v"].to_numpy()), np.stack(rows["v"].to_numpy())
-        d, ids, length, match = x.shape[1], rows["vec_id"].to_numpy(), rows["length"].to_numpy(), rows["match"].to_numpy()
+            return empty
+        x, ids, length, match = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy(), rows["length"].to_numpy(), rows["match"].to_numpy()
+        d = x.shape[1]
         signs = np.unpackbits(np.stack([np.frombuffer(c, dtype=np.uint8) for c in rows["code"]]), axis=1, count=d).astype(np.float32) * 2 - 1
-        turned, base = np.stack(queries["turned"].to_numpy()).astype(np.float32), queries["on_centre"].to_numpy()
-        per_unit = length / match / np.sqrt(d)
-        spread = length * np.sqrt(np.maximum(0.0, 1 - match**2)) / match * sureness / np.sqrt(max(d - 1, 1))
+        per_unit = (length / match / np.sqrt(d)).astype(np.float32)
+        spread = (length * np.sqrt(np.maximum(0.0, 1 - match**2)) / match * sureness / np.sqrt(max(d - 1, 1))).astype(np.float32)
         out = []
-        for at, query in enumerate(queries["vec_id"].to_numpy()):
-            other = ids != query
-            estimate = np.where(other, base[at] + (signs @ turned[at]) * per_unit, -np.inf)
-            bound = estimate + spread * queries["norm"].iat[at] + 1e-9
-            n = min(first, int(other.sum()))
-            if not n:
-                continue
-            tried = np.argpartition(-estimate, n - 1)[:n]
-            exact = products(x[tried], q[at])
-            least = np.sort(exact)[-min(k, n)]
-            more = (bound >= least) & other
-            more[tried] = False
-            more = np.flatnonzero(more)
-            tried, exact = np.concatenate([tried, more]), np.concatenate([exact, products(x[more], q[at])])
-            best = np.lexsort((ids[tried], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[tried][best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        for start in range(0, len(queries), at_once):
+            asked = queries.iloc[start:start + at_once]
+            q, names = np.stack(asked["v"].to_numpy()), asked["vec_id"].to_numpy()
+            estimate = np.stack(asked["turned"].to_numpy()).astype(np.float32) @ signs.T
+            estimate *= per_unit
+            estimate += asked["on_centre"].to_numpy(dtype=np.float32)[:, None]
+            own = names[:, None] == ids
+            estimate[own] = -np.inf
+            n = min(first, len(ids))
+            tried = np.argpartition(-estimate, n - 1, axis=1)[:, :n]
+            of, row = np.repeat(np.arange(len(q)), n), tried.ravel()
+            exact = products(x[row], q[of]).reshape(len(q), n)
+            exact[np.take_along_axis(own, tried, 1)] = -np.inf
+            least = np.sort(exact, axis=1)[:, -min(k, n)]
+            # what the bound cannot rule out is computed as well
+            estimate += spread * asked["norm"].to_numpy(dtype=np.float32)[:, None]
+            estimate[np.arange(len(q))[:, None], tried] = -np.inf
+            more_of, more_row = np.nonzero((estimate >= (least - 1e-5)[:, None].astype(np.float32)) & ~own)
+            of, row = np.concatenate([of, more_of]), np.concatenate([row, more_row])
+            exact = np.concatenate([exact.ravel(), products(x[more_row], q[more_of])])
+            order = np.lexsort((ids[row], -exact, of))
+            of, row, exact = of[order], row[order], exact[order]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            best = (place < k) & (exact > -np.inf)
+            out.append(pd.DataFrame({"query_id": names[of[best]], "vec_id": ids[row[best]], "score": exact[best]}))
+        return pd.concat(out)
     return search
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 11, fit_rows: int = 10_000, query_block: int = 2_048, row_block: int = 8_192,
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 11, fit_rows: int = 10_000, query_block: int = 2_048, row_block: int = 4_096,
             first: int = 64, sureness: float = 3.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the ``k`` nearest of every query.
 
