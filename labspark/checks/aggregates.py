@@ -96,18 +96,20 @@ def monthly_counts(t):
     return k_mask(out, "n", ["code", "sample_type", "month"])
 
 
-@query("column_completeness", cte("fx_obs") + """, w AS (SELECT code, count(obs_id) AS obs_id, count(unit) AS unit, count(comparator) AS comparator, count(ref_low) AS ref_low,
- count(nullif(status, '')) AS status FROM fx_obs GROUP BY code)
-SELECT * FROM (UNPIVOT w ON obs_id, unit, comparator, ref_low, status INTO NAME column_name VALUE n)""")
+_COLUMNS = ("obs_id", "patient", "time", "value", "k", "unit", "comparator", "ref_low", "ref_high", "ref_low_unit", "ref_high_unit", "ref_type", "status")
+_CODES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("column_completeness", cte("fx_obs") + " UNION ALL ".join(
+    f"SELECT code, '{c}' AS column_name, count(nullif(CAST({c} AS VARCHAR), '')) AS n FROM fx_obs GROUP BY code" for c in _COLUMNS))
 def column_completeness(t):
-    return describe.completeness(t.fx_obs, "code", ["obs_id", "unit", "comparator", "ref_low", "status"])
+    return describe.completeness(t.fx_obs, "code")
 
 
-@query("column_completeness_wide", cte("fx_obs") + """, w AS (SELECT code, count(unit) AS unit, count(comparator) AS comparator FROM fx_obs GROUP BY code),
-l AS (SELECT * FROM (UNPIVOT w ON unit, comparator INTO NAME column_name VALUE n))
-SELECT column_name, max(n) FILTER (WHERE code = 'click') AS click, max(n) FILTER (WHERE code = 'error') AS error, max(n) FILTER (WHERE code = 'view') AS view FROM l GROUP BY column_name""")
+@query("column_completeness_wide", cte("fx_obs") + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, " + ", ".join(f"count(nullif(CAST({c} AS VARCHAR), '')) FILTER (code = '{v}') AS {v}" for v in _CODES) + " FROM fx_obs" for c in _COLUMNS))
 def column_completeness_wide(t):
-    return describe.transpose(describe.completeness(t.fx_obs, "code", ["unit", "comparator"]), "code", ["click", "error", "view"])
+    return describe.transpose(describe.completeness(t.fx_obs, "code"), "code", list(_CODES))
 
 
 @query("dataset_description", cte("fx_obs", "fx_dup_obs") + """, d AS (SELECT x.*, o.status, o.ref_type, CASE WHEN o.k % 8 = 0 THEN NULL ELSE x.obs_id // 2 END AS identifier FROM fx_dup_obs x JOIN fx_obs o USING (obs_id))
@@ -192,30 +194,29 @@ def timestamp_availability(t):
 
 
 # --- suppression -----------------------------------------------------------------------------
-_KC = cte("fx_obs") + ", c AS (SELECT code, unit, comparator, count(*) AS n, count(*) FILTER (WHERE value > 60) AS n_high, round(avg(value), 6) AS mean FROM fx_obs WHERE k % 3 = 0 GROUP BY ALL)\n"
+_KC = cte("fx_obs") + ", c AS (SELECT code, unit, comparator, count(*) AS n, count(*) FILTER (WHERE value > 60) AS n_high, round(avg(value), 6) AS mean FROM fx_obs GROUP BY ALL)\n"
 
 
 def _kc(t):
-    rows = t.fx_obs.filter("k % 3 = 0")
-    return rounded(rows.groupBy("code", "unit", "comparator").agg(describe.n_rows(), F.count_if(F.col("value") > 60).alias("n_high"), F.avg("value").alias("mean")))
+    return rounded(t.fx_obs.groupBy("code", "unit", "comparator").agg(describe.n_rows(), F.count_if(F.col("value") > 60).alias("n_high"), F.avg("value").alias("mean")))
 
 
-@query("k_anonymity", _KC + """, f AS (SELECT *, (n <> 0 AND n < 30) OR (n_high <> 0 AND n_high < 30) AS small FROM c)
-SELECT code, unit, comparator, CASE WHEN small THEN '<30' ELSE CAST(n AS VARCHAR) END AS n, CASE WHEN small THEN '<30' ELSE CAST(n_high AS VARCHAR) END AS n_high,
+@query("k_anonymity", _KC + """, f AS (SELECT *, (n <> 0 AND n < 90) OR (n_high <> 0 AND n_high < 90) AS small FROM c)
+SELECT code, unit, comparator, CASE WHEN small THEN '<90' ELSE CAST(n AS VARCHAR) END AS n, CASE WHEN small THEN '<90' ELSE CAST(n_high AS VARCHAR) END AS n_high,
  CASE WHEN NOT small THEN mean END AS mean FROM f""")
 def k_anonymity(t):
-    return k_mask(_kc(t), ["n", "n_high"], ["code", "unit", "comparator"], 30)
+    return k_mask(_kc(t), ["n", "n_high"], ["code", "unit", "comparator"], 90)
 
 
 @query("k_extra", _KC + """
-SELECT code, unit, comparator, CASE WHEN n > 0 AND n < 30 THEN '<30' ELSE CAST(n AS VARCHAR) END AS n, CASE WHEN n_high > 0 AND n_high < 30 THEN '<30' ELSE CAST(n_high AS VARCHAR) END AS n_high, mean FROM c""")
+SELECT code, unit, comparator, CASE WHEN n > 0 AND n < 90 THEN '<90' ELSE CAST(n AS VARCHAR) END AS n, CASE WHEN n_high > 0 AND n_high < 90 THEN '<90' ELSE CAST(n_high AS VARCHAR) END AS n_high, mean FROM c""")
 def k_extra(t):
-    return k_cells(_kc(t), ["n", "n_high"], 30)
+    return k_cells(_kc(t), ["n", "n_high"], 90)
 
 
-@query("k_censor_log", _KC + "SELECT code, unit, comparator, CASE WHEN n - 40 <> 0 AND n - 40 < 5 THEN '<5' ELSE CAST(n - 40 AS VARCHAR) END AS cell FROM c")
+@query("k_censor_log", _KC + "SELECT code, unit, comparator, CASE WHEN n % 90 = 0 OR n % 90 >= 5 THEN CAST(n % 90 AS VARCHAR) ELSE '<5' END AS cell FROM c")
 def k_censor_log(t):
-    return _kc(t).select("code", "unit", "comparator", k_censor(F.col("n") - 40).alias("cell"))
+    return _kc(t).select("code", "unit", "comparator", k_censor(F.col("n") % 90).alias("cell"))
 
 
 # --- follow-up -------------------------------------------------------------------------------

@@ -134,7 +134,7 @@ SELECT n, k AS n_clusters, round(icc, 8) AS icc, round(deff, 8) AS deff, k - 1 A
 def cluster_design_effect(t):
     mean = t.fx_obs.groupBy("code").agg(F.avg("value").alias("m"))
     rows = t.fx_obs.join(mean, "code").withColumn("e", F.col("value") - F.col("m"))
-    return rounded(regress.design_effect(rows, "e", "patient"), digits=8)
+    return rounded(regress.design_effect(rows, "e", "patient").drop("sst"), digits=8)
 
 
 @query("regression_exclusions", WIDE + """
@@ -160,15 +160,14 @@ def _followup_sql(where, y, source, p):
 
 
 _FOLLOWUP = [_followup_sql(_IN_TIME, "next_hours", "next_k_timing_categorical_all", "a"), _followup_sql("TRUE", _OCCURRED, "next_k_occurred_all", "b"),
-             _followup_sql("first = 1", _OCCURRED, "next_k_occurred_only_first", "c")]
+             _followup_sql("first = 1", _OCCURRED, "next_k_occurred_only_first", "c"),
+             _followup_sql(f"({_IN_TIME}) AND first = 1", "next_hours", "next_k_timing_categorical_only_first", "d")]
 
 
 @query("followup_regressions", WIDE + ", " + ", ".join(c for c, _ in _FOLLOWUP) + "\n" + " UNION ALL ".join(q for _, q in _FOLLOWUP))
 def followup_regressions(t):
     table, _ = regression_table(t)
-    wanted = ("next_k_timing_categorical_all", "next_k_occurred_all", "next_k_occurred_only_first")
-    models = [m for m in covariates.followup_models(table, STUDY) if m[0].source in wanted]
-    return _checked(regress.regressions(table, models, STUDY.k))
+    return _checked(regress.regressions(table, covariates.followup_models(table, STUDY), STUDY.k))
 
 
 @query("covariate_regressions", None)

@@ -30,11 +30,6 @@ def main_intervals(df: DataFrame, main: str, type_col="type", start="period_star
             .withColumn("time", s))
 
 
-def drop_invalid_units(df: DataFrame, invalid: list[str], unit="unit") -> DataFrame:
-    """Rows whose unit is not listed as invalid. With any invalid unit, rows without unit go too."""
-    return df.filter(~F.col(unit).isin(*invalid)) if invalid else df
-
-
 def cohort(df: DataFrame, age: tuple | None = None, gender: str | None = None) -> DataFrame:
     """Optional age band (both ends in) and gender."""
     if age is not None:
@@ -236,7 +231,3 @@ def missing_report(df: DataFrame, value="value", unit="unit", norm=None) -> Data
 def shared_instants(df: DataFrame, by="patient", t="time") -> DataFrame:
     """Number of (patient, time) with more than one row."""
     return df.groupBy(by, t).count().agg(F.count_if(F.col("count") > 1).alias("n"))
-
-
-def median_of(df: DataFrame, keys, value, name="median") -> DataFrame:
-    return percentiles(df, keys, value, {name: 0.5})

@@ -18,7 +18,8 @@ _OFFSET = 800 * _CELLS_PER_E  # ln of the smallest positive double is about -745
 def value_cell(v: Column) -> Column:
     """Number of the cell that holds ``v``; grows with ``v``."""
     size = F.floor(F.ln(F.abs(v)) * _CELLS_PER_E) + F.lit(_OFFSET)
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
+    last = 2 * _OFFSET  # beyond every finite value; NaN comes last, as everywhere in Spark's order
+    return F.when(F.isnan(v), last + 1).when(v == float("inf"), last).when(v == float("-inf"), -last).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
 
 
 def value_counts(df: DataFrame, keys, value) -> DataFrame:
@@ -71,8 +72,9 @@ def percentiles_of_counts(counts: DataFrame, keys, probs: dict[str, float]) -> D
     def interpolated(p):
         i = names[float(p)]
         pos = F.lit(float(p)) * (total - 1)
-        low = F.col(f"__lo{i}")
-        return low + (F.col(f"__hi{i}") - low) * (pos - F.floor(pos))
+        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        # equal neighbours need no interpolation, which would turn two infinities into NaN
+        return F.when((low == high) | (pos == F.floor(pos)), low).otherwise(low + (high - low) * (pos - F.floor(pos)))
 
     return out.select(*keys, *[interpolated(p).alias(n) for n, p in probs.items()])
 

@@ -97,7 +97,7 @@ def _complete(df: DataFrame, cols: dict, outcome: str, keep=()) -> DataFrame:
 
 
 def cross_products(rows: DataFrame, p: int):
-    """X'X, X'y, y'y and n of complete rows, in one aggregation."""
+    """X'X, X'y and n of complete rows, in one aggregation."""
     names = [f"x{i}" for i in range(p)] + ["y"]
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
     sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs]
@@ -105,7 +105,7 @@ def cross_products(rows: DataFrame, p: int):
     m = np.zeros((p + 1, p + 1))
     for i, j in pairs:
         m[i, j] = m[j, i] = row[f"s{i}_{j}"] or 0.0
-    return m[:p, :p], m[:p, p], m[p, p], row["n"]
+    return m[:p, :p], m[:p, p], row["n"]
 
 
 def independent_columns(xtx: np.ndarray, tol: float = 1e-10) -> list[int]:
@@ -135,17 +135,15 @@ def usable_columns(model: Model, names: list[str], xtx: np.ndarray, n: int) -> l
     return sorted(out)
 
 
-def solve(xtx, xty, yty, n):
-    """Coefficients, standard errors and kept columns."""
+def solve(xtx, xty, n):
+    """Kept columns, coefficients, inverse of their cross products and degrees of freedom."""
     kept = independent_columns(xtx)
     g = xtx[np.ix_(kept, kept)]
     scale = np.sqrt(np.diag(g))
     inv = np.linalg.inv(g / np.outer(scale, scale)) / np.outer(scale, scale)
     beta = inv @ xty[kept]
     df = n - len(kept)
-    rss = max(yty - 2 * beta @ xty[kept] + beta @ g @ beta, 0.0)
-    se = np.sqrt(np.diag(inv) * rss / df) if df > 0 else np.full(len(kept), np.nan)
-    return kept, beta, se, df
+    return kept, beta, inv, df
 
 
 # --- clustered standard errors ---------------------------------------------------------------
@@ -168,7 +166,7 @@ def design_effect(df: DataFrame, resid, cluster) -> DataFrame:
     rho = F.when(usable & (denom > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (msb - msw) / denom))).otherwise(0.0)
     return (cluster_sums(df, resid, cluster)
             .withColumn("icc", rho)
-            .select("n", "n_clusters", "icc", F.when(usable, 1 + (size - 1) * F.col("icc")).otherwise(1.0).alias("deff"),
+            .select("n", "n_clusters", "sst", "icc", F.when(usable, 1 + (size - 1) * F.col("icc")).otherwise(1.0).alias("deff"),
                     F.when(usable, k - 1).otherwise(F.greatest(n - 1, F.lit(1))).alias("df")))
 
 
@@ -181,20 +179,27 @@ def ols(df: DataFrame, model: Model, k: int = 5) -> DataFrame | None:
     mean = head["m"] if model.center else None
     cols = design(model, mean)
     rows = _complete(df, cols, model.outcome, [as_col(model.cluster).alias("__cluster")] if model.cluster is not None else [])
-    xtx, xty, yty, n = cross_products(rows, len(cols))
+    xtx, xty, n = cross_products(rows, len(cols))
     if n < k:
         return None
     usable = usable_columns(model, list(cols), xtx, n)
     if usable is None:
         return None
     sub = np.ix_(usable, usable)
-    kept, beta, se, dof = solve(xtx[sub], xty[usable], yty, n)
+    kept, beta, inv, dof = solve(xtx[sub], xty[usable], n)
     kept = [usable[i] for i in kept]
+    # the residuals themselves are squared, in a second pass: a difference of large sums would cancel
+    rows = rows.withColumn("__e", F.col("y") - reduce(lambda a, b: a + b, [F.col(f"x{i}") * float(b) for i, b in zip(kept, beta)]))
     deff = icc = clusters = None
     if model.cluster is not None:
-        fit = reduce(lambda a, b: a + b, [F.col(f"x{i}") * float(b) for i, b in zip(kept, beta)])
-        row = design_effect(rows.withColumn("__e", F.col("y") - fit), "__e", "__cluster").first()
-        deff, icc, clusters, dof = row["deff"], row["icc"], row["n_clusters"], row["df"]
+        row = design_effect(rows, "__e", "__cluster").first()
+        deff, icc, clusters = row["deff"], row["icc"], row["n_clusters"]
+        rss = row["sst"]
+    else:
+        rss = rows.agg(F.sum(F.col("__e") * F.col("__e"))).first()[0]
+    se = np.sqrt(np.diag(inv) * rss / dof) if dof > 0 else np.full(len(kept), np.nan)
+    if model.cluster is not None:
+        dof = row["df"]
         se = se * math.sqrt(deff)
     names = list(cols)
     text = f"{model.outcome} ~ " + " + ".join([*[c for c in model.factors if c not in model.terms],
@@ -263,11 +268,6 @@ def month_windows(availability: DataFrame) -> DataFrame:
                                F.add_months(F.trunc("max_available", "month"), 1).alias("t_max"))
 
 
-def month_window(availability: DataFrame, name: str):
-    row = month_windows(availability).filter(F.col("table_name") == name).first()
-    return None if row is None or row["t_min"] is None else (row["t_min"], row["t_max"])
-
-
 def regressions(df: DataFrame, models: list[tuple[Model, DataFrame]], k: int = 5) -> DataFrame:
     """All fits in one table; models without enough rows are left out."""
     fits = [f for f in (ols(rows, m, k) for m, rows in models) if f is not None]

@@ -37,16 +37,6 @@ def resolve_two_hop(adm: DataFrame, med: DataFrame, ref="med_ref") -> DataFrame:
     return own.unionByName(deeper)
 
 
-def match_on(df: DataFrame, other: DataFrame, on, left: dict, right: dict) -> DataFrame:
-    """Inner equi-join on ``on`` with renamed columns of both sides, without duplicate rows."""
-    keys = as_list(on)
-    a = df.select(*keys, *[F.col(c).alias(n) for n, c in left.items() if n not in keys])
-    b = other.select(*keys, *[F.col(c).alias(n) for n, c in right.items()])
-    out = a.join(b, keys).distinct()
-    wanted = [*left, *right]
-    return out.select(*[c for c in wanted])
-
-
 def reference_types(df: DataFrame, encounters: DataFrame, ref="encounter") -> DataFrame:
     """What the encounter references of a table point to, as counts."""
     dim = encounters.select("enc_id", F.col("type").alias("__type"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,7 +13,11 @@ from labspark.functions.values import label_codes
 
 
 class ContractError(ValueError):
-    """Input that does not satisfy its contract."""
+    """Input that does not satisfy its contract. ``rows``: every offending row, where there is a table of them."""
+
+    def __init__(self, message: str, rows: DataFrame | None = None):
+        super().__init__(message)
+        self.rows = rows
 
 
 @dataclass(frozen=True)
@@ -144,13 +147,19 @@ FILES = {
     "medication": ("Medikation.csv", MEDICATION),
 }
 MANDATORY = ("lab", "patients")
+EXAMPLES = 5  # rows named in a message; the error carries all of them
 UNIT_COLUMNS = ("label", "source_unit", "target_unit", "factor")
 
 
-def read_strings(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column as text."""
+def read_strings(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """CSV with a header, every column as text.
+
+    Quoted cells may hold line breaks. A file is then read by one task, so large extracts should come as
+    many part files or be converted once (``convert_all``). Without ``line_breaks`` files are split, which
+    is right only where no cell has one.
+    """
     return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", False).csv(path))
+            .option("multiLine", line_breaks).csv(path))
 
 
 def typed(df: DataFrame, fields) -> DataFrame:
@@ -201,25 +210,42 @@ def require_columns(sources: dict[str, DataFrame], contracts: dict) -> None:
         raise ContractError("missing columns: " + "; ".join(f"{n}: {', '.join(c)}" for n, c in bad.items()))
 
 
+def _if_there(read) -> DataFrame | None:
+    """The table, or None when its path does not exist."""
+    try:
+        return read()
+    except ContractError:
+        raise
+    except Exception as e:  # the reader names a missing path
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def read_all(spark: SparkSession, folder: str, files: dict | None = None) -> dict[str, DataFrame | None]:
     """Every extract of a folder; absent optional files give None."""
     out = {}
     for name, (file, fields) in (files or FILES).items():
         path = f"{folder.rstrip('/')}/{file}"
-        try:
-            out[name] = read_source(spark, path, fields)
-        except ContractError:
-            raise
-        except Exception as e:  # the reader names a missing path
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            out[name] = None
+        out[name] = _if_there(lambda p=path, f=fields: read_source(spark, p, f))
     lack = [n for n in MANDATORY if out.get(n) is None]
     if lack:
         raise ContractError(f"mandatory files missing: {', '.join(lack)}")
     return out
 
 
+def convert_all(spark: SparkSession, folder: str, target: str, files: dict | None = None) -> None:
+    """Stores every extract of a folder as typed Parquet below ``target``, to be read by ``read_converted``."""
+    for name, df in read_all(spark, folder, files).items():
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}")
+
+
+def read_converted(spark: SparkSession, target: str, files: dict | None = None) -> dict[str, DataFrame | None]:
+    """What ``convert_all`` stored; absent sources give None."""
+    return {name: _if_there(lambda n=name: spark.read.parquet(f"{target.rstrip('/')}/{n}")) for name in files or FILES}
+
+
 # --- unit conversion -------------------------------------------------------------------------
 def clean_units(raw: DataFrame) -> DataFrame:
     """Trimmed text columns of a conversion table."""
@@ -244,12 +270,18 @@ def unit_problems(units: DataFrame) -> DataFrame:
         entries(targets.withColumn("source_unit", F.lit(None).cast(S)), "several_targets")])
 
 
+def _refuse(what: str, rows: DataFrame) -> None:
+    """Raises when there are offending rows: the exact number, a few examples, and all of them on the error."""
+    n = rows.count()
+    if n:
+        some = "; ".join(" ".join(str(v) for v in r if v is not None) for r in rows.orderBy(*rows.columns).take(EXAMPLES))
+        raise ContractError(f"{what}: {n} entries, for example {some}", rows)
+
+
 def load_units(raw: DataFrame) -> DataFrame:
     """Checked conversion table with numeric factors."""
     units = clean_units(raw)
-    bad = unit_problems(units).limit(20).collect()  # a message needs only a few examples
-    if bad:
-        raise ContractError("unit table: " + "; ".join(f"{r.problem} {r.label} {r.source_unit or ''}".strip() for r in bad))
+    _refuse("unit table", unit_problems(units))
     return units.withColumn("factor", F.col("factor").try_cast(D))
 
 
@@ -266,9 +298,7 @@ def unit_usage(df: DataFrame, units: DataFrame, label="label", unit="unit") -> D
 def check_units(df: DataFrame, units: DataFrame, label="label", unit="unit") -> DataFrame:
     """Raises when a unit of the data is not in the table; returns ``unit_usage``."""
     usage = unit_usage(df, units, label, unit)
-    bad = usage.filter("state = 'missing'").limit(20).collect()
-    if bad:
-        raise ContractError("units without conversion: " + ", ".join(f"{r[label]} {r[unit]}" for r in bad))
+    _refuse("units without conversion", usage.filter("state = 'missing'").drop("state"))
     return usage
 
 
@@ -281,11 +311,6 @@ def labelled_units(lab: DataFrame, groups: dict, t_min, t_max, system: str, excl
 # --- sinks -----------------------------------------------------------------------------------
 def write_result(df: DataFrame, path: str, order=None) -> None:
     """A result table as one CSV file with a header. Results are small aggregates."""
-    out = df.coalesce(1)
-    if order:
-        out = df.orderBy(*order).coalesce(1)
+    # the shuffle comes first, so that one task writes the result but does not compute it
+    out = df.orderBy(*order).coalesce(1) if order else df.repartition(1)
     out.write.mode("overwrite").option("header", True).csv(path)
-
-
-def join_path(*parts: str) -> str:
-    return os.path.join(*parts)
