@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labspark.llm.components import components
-from labspark.llm.text import ascii_lower, split_terms, text_or_empty
+from labspark.llm.text import ascii_lower, has_terms, split_terms, text_or_empty
 from labspark.session import materialize
 
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that multiplying permutes 64-bit numbers
@@ -153,9 +153,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tre
     def words(c: Column) -> Column:
         return split_terms(ascii_lower(c))
 
-    base = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs, text_col).alias("t")).select("doc_id", words(F.col("t")).alias("w"))
-    linked = base.filter(F.col("doc_id").isNotNull() & (F.size("w") > 0))
-    hashed = linked.select("doc_id", F.xxhash64("w").alias("class"), F.transform("w", lambda w: F.xxhash64(w)).alias("hashes"))
+    base = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs, text_col).alias("t"))
+    linked = base.filter(F.col("doc_id").isNotNull() & has_terms(F.col("t")))
+    hashed = linked.select("doc_id", words(F.col("t")).alias("w")).select("doc_id", F.xxhash64("w").alias("class"), F.transform("w", lambda w: F.xxhash64(w)).alias("hashes"))
     kind = dict(hashed.dtypes)["doc_id"]
     names = [f"k{t}" for t in range(trees)]
     members = materialize(hashed.mapInArrow(_signatures(trees, depth, width, seed), f"doc_id {kind}, class bigint, " + ", ".join(f"{k} bigint" for k in names)), "join-members")
@@ -167,8 +167,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tre
     candidates = materialize(classes.select("class", F.col("copy_of").alias("doc_id"), "n").join(roots, F.col("class") == F.col("node")).drop("node"), "join-groups")
     groups = max(1, candidates.count() // block)
     units = _blocked(candidates, block, groups)
-    texts = docs.select(docs[id_col].alias("doc_id"), words(text_or_empty(docs, text_col)).alias("w")).filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("w").alias("class"), F.array_join("w", " ").alias("words"))
-    work = units.join(texts, ["class", "doc_id"]).groupBy("large", "pack", "low", "high")
+    # candidates grow with the corpus, so they are never broadcast; words are made after the join, for candidates only
+    found = linked.join(units.hint("shuffle_hash"), "doc_id").withColumn("w", words(F.col("t"))).filter(F.xxhash64("w") == F.col("class"))
+    work = found.select("class", "n", "root", "pack", "large", "low", "high", "side", F.array_join("w", " ").alias("words")).groupBy("large", "pack", "low", "high")
     verified = materialize(work.applyInPandas(_verify(width, threshold), "class bigint, links bigint, to bigint"), "join-links")
     joined = components(verified.select(F.col("class").alias("a"), F.col("to").alias("b")), "join-components")
     links = verified.groupBy("class").agg(F.sum("links").alias("links"))
@@ -177,7 +178,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tre
     per_class = materialize(named.join(first, "root").join(links, "class", "left").select(
         "class", "class_id", "copy_of", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "join-result")
     out = members.select("doc_id", "class").join(per_class, "class").select("doc_id", "class_id", "copy_of", "n_links")
-    alone = base.filter(F.col("doc_id").isNull() | (F.size("w") == 0)).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
+    alone = base.filter(F.col("doc_id").isNull() | ~has_terms(F.col("t"))).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 
 

@@ -24,6 +24,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it.
+
+    Spark evaluates a column again for every mention inside array functions; a lambda argument is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def split_words(c: Column) -> Column:
     """Runs of other than ASCII white space, in order."""
     bare = strip(c)
@@ -32,10 +39,16 @@ def split_words(c: Column) -> Column:
 
 def split_terms(c: Column) -> Column:
     """Runs of digits, lower-case letters and characters beyond ASCII; ``c`` is lower-cased before."""
-    parts = F.split(c, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
-    parts = F.when(F.element_at(parts, 1) == "", F.slice(parts, 2, F.size(parts))).otherwise(parts)
-    # an empty last part is left by closing punctuation
-    return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    def bare(parts: Column) -> Column:  # punctuation at an end leaves an empty part there
+        first = F.when(F.element_at(parts, 1) == "", F.lit(2)).otherwise(F.lit(1))
+        last = F.size(parts) - F.when(F.element_at(parts, -1) == "", F.lit(1)).otherwise(F.lit(0))
+        return F.slice(parts, first, F.greatest(last - first + 1, F.lit(0)))
+    return let(F.split(c, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), bare)
+
+
+def has_terms(c: Column) -> Column:
+    """Whether ``split_terms`` of the lower-cased text finds any; stops at the first."""
+    return c.rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
 
 
 def count_words(c: Column) -> Column:
@@ -43,13 +56,6 @@ def count_words(c: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACES))).cast("long")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row, however often the body uses it.
-
-    Spark evaluates a column again for every mention inside array functions; a lambda argument is not."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def tail(a: Column, skip: int) -> Column:
     """``a``, a column or lambda argument, without its first ``skip`` elements."""
     return F.slice(a, skip + 1, F.size(a))
