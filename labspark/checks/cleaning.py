@@ -12,21 +12,26 @@ from labspark.sources.fixtures import cte
 _DUP = cte("fx_obs", "fx_dup_obs")
 
 
-@query("repeat_report", _DUP + """
-SELECT 'same_time' AS metric, count(DISTINCT obs_id) AS n FROM fx_dup_obs WHERE (patient, time) IN (SELECT (patient, time) FROM fx_dup_obs GROUP BY patient, time HAVING count(DISTINCT obs_id) >= 2)
-UNION ALL SELECT 'same_time_code', count(DISTINCT obs_id) FROM fx_dup_obs WHERE (patient, time) IN (SELECT (patient, time) FROM fx_dup_obs GROUP BY patient, time, code HAVING count(DISTINCT obs_id) >= 2)
-UNION ALL SELECT 'same_time_code_3', count(DISTINCT obs_id) FROM fx_dup_obs WHERE (patient, time) IN (SELECT (patient, time) FROM fx_dup_obs GROUP BY patient, time, code HAVING count(DISTINCT obs_id) >= 3)
-UNION ALL SELECT unnest(['issued_na', 'issued_identical', 'issued_before', 'issued_after']), unnest([a, b, c, d]) FROM (
- SELECT count(DISTINCT CASE WHEN issued IS NULL THEN obs_id END) AS a, count(DISTINCT CASE WHEN issued = time THEN obs_id END) AS b,
-  count(DISTINCT CASE WHEN issued < time THEN obs_id END) AS c, count(DISTINCT CASE WHEN issued > time THEN obs_id END) AS d
- FROM (SELECT * FROM fx_dup_obs QUALIFY count(*) OVER (PARTITION BY patient, time, code) >= 2))""")
+@query("repeat_report", _DUP + """, per_code AS (SELECT patient, time, code, count(DISTINCT obs_id) AS k FROM fx_dup_obs GROUP BY ALL),
+instant AS (SELECT patient, time, max(k) AS most, list_unique(flatten(list(ids))) AS total FROM (SELECT patient, time, max(k) AS k, any_value(ids) AS ids FROM per_code
+ JOIN (SELECT patient, time, list(obs_id) AS ids FROM fx_dup_obs GROUP BY ALL) USING (patient, time) GROUP BY ALL) GROUP BY ALL),
+crowd AS (SELECT count(DISTINCT obs_id) FILTER (total > 1) AS same_time, count(DISTINCT obs_id) FILTER (most > 1) AS same_time_code, count(DISTINCT obs_id) FILTER (most > 2) AS same_time_code_3
+ FROM fx_dup_obs JOIN instant USING (patient, time)),
+rep AS (SELECT unnest(list({'id': obs_id, 'lag': epoch_us(issued) - epoch_us(time), 'open': issued IS NULL})) AS r FROM fx_dup_obs GROUP BY patient, time, code HAVING count(*) > 1),
+issue AS (SELECT count(DISTINCT r.id) FILTER (r.open) AS issued_na, count(DISTINCT r.id) FILTER (r.lag = 0) AS issued_identical, count(DISTINCT r.id) FILTER (r.lag < 0) AS issued_before,
+ count(DISTINCT r.id) FILTER (r.lag > 0) AS issued_after FROM rep)
+SELECT metric, n FROM (UNPIVOT crowd ON COLUMNS(*) INTO NAME metric VALUE n) UNION ALL SELECT metric, n FROM (UNPIVOT issue ON COLUMNS(*) INTO NAME metric VALUE n)""")
 def repeat_report(t):
     return clean.repeat_report(t.fx_dup_obs)
 
 
-@query("dedupe_repeats", _DUP + """
-SELECT obs_id, patient, time, code, issued, value FROM fx_dup_obs WINDOW w AS (PARTITION BY patient, time, code) QUALIFY NOT (time IS NOT NULL AND count(*) OVER w >= 2 AND max(issued) OVER w IS NOT NULL
- AND (issued IS NULL OR issued < max(issued) OVER w))""")
+_GROUPS = """, several AS (SELECT patient, time, code, max(issued) AS newest, list(issued) AS issues, count(*) AS n FROM fx_dup_obs WHERE time IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+"""
+
+
+@query("dedupe_repeats", _DUP + _GROUPS + """
+SELECT obs_id, d.patient, d.time, d.code, issued, value FROM fx_dup_obs d LEFT JOIN several s ON d.patient IS NOT DISTINCT FROM s.patient AND d.time = s.time AND d.code IS NOT DISTINCT FROM s.code
+WHERE newest IS NULL OR issued = newest""")
 def dedupe_repeats(t):
     return clean.dedupe_repeats(t.fx_dup_obs).select("obs_id", "patient", "time", "code", "issued", "value")
 
@@ -37,27 +42,26 @@ def dedupe_repeats_uninformative(t):
     return clean.dedupe_repeats(t.fx_dup_obs.withColumn("issued", F.col("time"))).select("obs_id", "patient", "time", "code", "issued")
 
 
-@query("dedupe_removed_unclear", _DUP + """, d AS (SELECT *, max(issued) OVER (PARTITION BY patient, time, code) AS mx, count(*) OVER (PARTITION BY patient, time, code) AS n_dup FROM fx_dup_obs),
-r AS (SELECT *, count(*) FILTER (WHERE issued = mx) OVER (PARTITION BY patient, time, code) AS n_max FROM d)
-SELECT (SELECT count(*) FROM r WHERE time IS NOT NULL AND n_dup >= 2 AND mx IS NOT NULL AND (issued IS NULL OR issued < mx)) AS removed,
- (SELECT count(*) FROM (SELECT DISTINCT patient, time, code FROM r WHERE time IS NOT NULL AND n_dup >= 2 AND (mx IS NULL OR (issued = mx AND n_max >= 2)))) AS unclear""")
+@query("dedupe_removed_unclear", _DUP + _GROUPS + """, k AS (SELECT *, len(list_filter(issues, lambda x: x = newest)) AS kept FROM several)
+SELECT CAST(coalesce(sum(n - kept) FILTER (newest IS NOT NULL), 0) AS BIGINT) AS removed, count(*) FILTER (newest IS NULL OR kept > 1) AS unclear FROM k""")
 def dedupe_removed_unclear(t):
     return clean.dedupe_counts(t.fx_dup_obs)
 
 
-_MAD = cte("fx_obs") + """, s1 AS (SELECT *, median(value) OVER (PARTITION BY code, unit) AS med FROM fx_obs),
-s2 AS (SELECT *, median(abs(value - med)) OVER (PARTITION BY code, unit) * 1.4826 AS mad FROM s1)
+_MAD = cte("fx_obs") + """, middle AS (SELECT code, unit, quantile_cont(value, 0.5) AS mid FROM fx_obs GROUP BY ALL),
+off AS (SELECT o.*, abs(value - mid) AS d FROM fx_obs o JOIN middle m ON o.code = m.code AND o.unit IS NOT DISTINCT FROM m.unit),
+spread AS (SELECT code, unit, 1.4826 * quantile_cont(d, 0.5) AS s FROM off GROUP BY ALL),
+judged AS (SELECT off.*, coalesce(s > 0 AND d / s > 5, false) AS bad FROM off JOIN spread p ON off.code = p.code AND off.unit IS NOT DISTINCT FROM p.unit)
 """
 
 
-@query("mad_outliers_report", _MAD + """, s3 AS (SELECT *, CASE WHEN value IS NULL OR mad = 0 THEN FALSE WHEN abs(value - med) / mad > 5 THEN TRUE ELSE FALSE END AS bad FROM s2)
-SELECT code, unit, count(*) FILTER (WHERE bad) AS n_implausible, min(value) FILTER (WHERE bad) AS min_implausible, max(value) FILTER (WHERE bad) AS max_implausible,
- round(median(value) FILTER (WHERE bad), 6) AS median_implausible FROM s3 GROUP BY code, unit""")
+@query("mad_outliers_report", _MAD + """, bads AS (SELECT code, unit, list(value) FILTER (bad) AS v FROM judged GROUP BY ALL)
+SELECT code, unit, coalesce(len(v), 0) AS n_implausible, list_min(v) AS min_implausible, list_max(v) AS max_implausible, round(list_aggregate(v, 'median'), 6) AS median_implausible FROM bads""")
 def mad_outliers_report(t):
     return rounded(clean.mad_report(t.fx_obs, cutoff=5.0), "median_implausible")
 
 
-@query("mad_outliers_filter", _MAD + "SELECT obs_id, value FROM s2 WHERE value IS NULL OR mad IS NULL OR mad = 0 OR abs((value - med) / mad) <= 5")
+@query("mad_outliers_filter", _MAD + "SELECT obs_id, value FROM judged WHERE NOT bad")
 def mad_outliers_filter(t):
     return clean.mad_filter(t.fx_obs, cutoff=5.0).select("obs_id", "value")
 

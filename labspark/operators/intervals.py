@@ -128,14 +128,16 @@ def encounter_windows(encounters: DataFrame) -> DataFrame:
 
 def _bucket_of(t):
     t, s, e, stay = F.col(t), F.col("win_start"), F.col("win_end"), F.col("class") != "AMB"
-    return (F.when(t < F.least(s + days(1), e), "day1")
-            .when(stay & (t >= e - days(1)) & (t <= e), "end_date")
-            .when(stay & (t < F.least(s + days(3), e)), "day2_3")
-            .when(stay & (t <= e), "day4_to_end")
-            .when(t < e + days(3), "end_to_3d_after")
-            .when(t < e + days(7), "3d_to_7d_after")
-            .when(t < e + days(14), "7d_to_14d_after")
-            .otherwise("remaining"))
+    early = lambda n: F.least(s + days(n), e)
+    # label, from, up to, whether the upper bound counts, stays only; a time takes the first row that it fits
+    table = [("day1", None, early(1), False, False), ("end_date", e - days(1), e, True, True), ("day2_3", None, early(3), False, True), ("day4_to_end", None, e, True, True),
+             ("end_to_3d_after", None, e + days(3), False, False), ("3d_to_7d_after", None, e + days(7), False, False), ("7d_to_14d_after", None, e + days(14), False, False)]
+    bucket = F.lit("remaining")
+    for label, low, high, closed, stays in reversed(table):
+        fits = (t <= high) if closed else (t < high)
+        fits = fits if low is None else fits & (t >= low)
+        bucket = F.when(fits & stay if stays else fits, label).otherwise(bucket)
+    return bucket
 
 
 def bucket_to_interval(events: DataFrame, encounters: DataFrame, by="patient", t="time", event_id="con_id",
