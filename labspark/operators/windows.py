@@ -172,7 +172,8 @@ def next_event(df: DataFrame, by, t, tie, values: dict, prefix="next_") -> DataF
     """
     by = as_list(by)
     payload = F.struct(*[as_col(c).alias(n) for n, c in values.items()])
-    instants = df.groupBy(*by, t).agg(F.max_by(payload, as_col(tie)).alias("__p"))
+    # equal ids at one instant: the greatest payload, so that reruns agree
+    instants = df.groupBy(*by, t).agg(F.max(F.struct(as_col(tie).alias("tie"), payload.alias("p")))["p"].alias("__p"))
     found = seek(df, Source(instants, t, {"__n": F.struct(F.col(t).alias("t"), F.col("__p").alias("p"))},
                             inclusive=False), by, t, ahead=True)
     out = attach(df, found, [*by, t])

@@ -44,7 +44,8 @@ def covariate_table(facts: DataFrame, spec: Spec, encounters=None, medications=N
         (labs, "labs"), (medications, "medications"), (procedures, "procedures"), (conditions, "conditions")))
     t = F.col("time")
     payload = F.struct("value_norm", "result", "result_detail", "enc_id")
-    instants = facts.groupBy(*KEY).agg(F.max_by(payload, F.col("obs_id")).alias("__p"))
+    # rows of one instant: the greatest id speaks, and among equal ids the greatest payload
+    instants = facts.groupBy(*KEY).agg(F.max(F.struct("obs_id", payload.alias("p")))["p"].alias("__p"))
     back, ahead = [], [Source(instants, "time", {"__next": F.struct(F.col("time").alias("t"), F.col("__p").alias("p"))}, inclusive=False)]
     n = F.col("__next")
     cols = {"next_value": n["p"]["value_norm"], "next_result": n["p"]["result"], "next_result_detail": n["p"]["result_detail"],
