@@ -68,7 +68,7 @@ def _pair_search(k: int, first: int, sureness: float, at_once: int = 128):
         if queries.empty or rows.empty:
             return empty
         x, ids, length, match = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy(), rows["length"].to_numpy(), rows["match"].to_numpy()
-        d = x.shape[1]
+        d, slack = x.shape[1], 1e-5 * (1 + np.abs(x).max())
         signs = np.unpackbits(np.stack([np.frombuffer(c, dtype=np.uint8) for c in rows["code"]]), axis=1, count=d).astype(np.float32) * 2 - 1
         per_unit = (length / match / np.sqrt(d)).astype(np.float32)
         spread = (length * np.sqrt(np.maximum(0.0, 1 - match**2)) / match * sureness / np.sqrt(max(d - 1, 1))).astype(np.float32)
@@ -84,26 +84,29 @@ def _pair_search(k: int, first: int, sureness: float, at_once: int = 128):
             n = min(first, len(ids))
             tried = np.argpartition(-estimate, n - 1, axis=1)[:, :n]
             of, row = np.repeat(np.arange(len(q)), n), tried.ravel()
-            exact = products(x[row], q[of]).reshape(len(q), n)
-            exact[np.take_along_axis(own, tried, 1)] = -np.inf
-            least = np.sort(exact, axis=1)[:, -min(k, n)]
+            near = np.einsum("ij,ij->i", x[row], q[of])
+            near[own[of, row]] = -np.inf
+            least = np.sort(near.reshape(len(q), n), axis=1)[:, -min(k, n)]
             # what the bound cannot rule out is computed as well
             estimate += spread * asked["norm"].to_numpy(dtype=np.float32)[:, None]
             estimate[np.arange(len(q))[:, None], tried] = -np.inf
-            more_of, more_row = np.nonzero((estimate >= (least - 1e-5)[:, None].astype(np.float32)) & ~own)
+            more_of, more_row = np.nonzero(estimate >= (least - slack)[:, None].astype(np.float32))
             of, row = np.concatenate([of, more_of]), np.concatenate([row, more_row])
-            exact = np.concatenate([exact.ravel(), products(x[more_row], q[more_of])])
+            near = np.concatenate([near, np.einsum("ij,ij->i", x[more_row], q[more_of])])
+            # the few that can be among the k best get their final score, summed in a fixed order
+            left = (near >= least[of] - slack) & ~own[of, row]
+            of, row = of[left], row[left]
+            exact = products(x[row], q[of])
             order = np.lexsort((ids[row], -exact, of))
             of, row, exact = of[order], row[order], exact[order]
-            place = np.arange(len(of)) - np.searchsorted(of, of)
-            best = (place < k) & (exact > -np.inf)
+            best = np.arange(len(of)) - np.searchsorted(of, of) < k
             out.append(pd.DataFrame({"query_id": names[of[best]], "vec_id": ids[row[best]], "score": exact[best]}))
         return pd.concat(out)
     return search
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 11, fit_rows: int = 10_000, query_block: int = 2_048, row_block: int = 4_096,
-            first: int = 64, sureness: float = 3.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 11, fit_rows: int = 10_000, query_block: int = 2_048, row_block: int = 8_192,
+            first: int = 64, sureness: float = 2.5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the ``k`` nearest of every query.
 
     ``is_query``: condition on ``vec_id``. ``sureness``: width of the error bound, in the usual measure for such codes."""
