@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from labspark.functions.columns import join_nullsafe
-from labspark.functions.privacy import k_mask
+from labspark.functions.privacy import k_cells, k_mask
 from labspark.operators import clean, describe, intervals, regress, resolve
 from labspark.plans import base, covariates, description, quality
 from labspark.session import materialize
@@ -73,7 +73,8 @@ def results(sources: dict, units: DataFrame, spec: Spec) -> dict[str, DataFrame]
     timeline, available = covariates.study_availability(study, spec)
     windows = covariates.window_dict(available)
     out["covariate_timeline"] = suppressed(timeline, spec.k)
-    out["cooccurrence"] = covariates.cooccurrence_tables(wide, windows, spec)
+    together = covariates.cooccurrence_tables(wide, windows, spec)
+    out["cooccurrence"] = k_cells(together, [c for c in together.columns if c.startswith("n_")], spec.k)
     out["regressions"] = covariates.regressions(wide, windows, spec)
     out["transitions"] = k_mask(describe.transitions(wide), "n", ["result_detail", "next_result_detail"], spec.k)
     out["sample_comparison"] = covariates.compare_samples(covariates.sample_pairs(study["samples"], wide, spec), spec, windows.get("conditions"))

@@ -7,13 +7,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from labspark.checks import load_all
 
 SF_DIR = os.environ.get("LABSPARK_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 # whole studies take minutes together: all of them only on request
 SLOW = {"describe_measurements", "sample_quality", "compare_samples", "cooccurrence_study", "covariate_regressions", "after_outcome_regressions",
         "condition_timing", "regression_exclusions", "encounter_reference_check", "sample_measurements", "value_statistics_published"}
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load_all()
 KEYS = [k for k in QUERIES if os.environ.get("LABSPARK_ALL") or k not in SLOW]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables not found")
 
