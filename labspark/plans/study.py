@@ -73,13 +73,13 @@ def results(sources: dict, units: DataFrame, spec: Spec) -> dict[str, DataFrame]
     timeline, available = covariates.study_availability(study, spec)
     windows = covariates.window_dict(available)
     out["covariate_timeline"] = suppressed(timeline, spec.k)
-    together = covariates.cooccurrence_tables(wide, windows, spec)
-    out["cooccurrence"] = k_cells(together, [c for c in together.columns if c.startswith("n_")], spec.k)
+    out["cooccurrence"] = covariates.cooccurrence_tables(wide, windows, spec)
     out["regressions"] = covariates.regressions(wide, windows, spec)
     out["transitions"] = k_mask(describe.transitions(wide), "n", ["result_detail", "next_result_detail"], spec.k)
     out["sample_comparison"] = covariates.compare_samples(covariates.sample_pairs(study["samples"], wide, spec), spec, windows.get("conditions"))
     out["quality_control"] = quality_control(sources, study, wide, spec)
-    return out
+    # masks above hide rows by their main count; no other count may stay small either
+    return {n: d if n == "regressions" else k_cells(d, [c for c in d.columns if c == "n" or c.startswith("n_")], spec.k) for n, d in out.items()}
 
 
 def run_study(spark: SparkSession, folder: str, units_path: str, target: str, spec: Spec | None = None, converted: bool = False) -> list[str]:
