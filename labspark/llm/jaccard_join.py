@@ -144,14 +144,21 @@ def _blocked(candidates: DataFrame, block: int, groups: int) -> DataFrame:
                     (F.col("own") == high).cast("int").alias("side"))
 
 
+def words(c: Column) -> Column:
+    return split_terms(ascii_lower(c))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 25, depth: int = 10, recall: float = 0.999, block: int = 512, seed: int = 5,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (least id among the documents that links connect it to, its own
     included), ``copy_of`` (least id with the same words) and ``n_links`` (documents at or above the threshold)."""
-    depth = prefix_depth(threshold, trees, depth, recall)
+    return _judged(docs, threshold, width, trees, depth, recall, block, seed, id_col, text_col).drop("class")
 
-    def words(c: Column) -> Column:
-        return split_terms(ascii_lower(c))
+
+def _judged(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 25, depth: int = 10, recall: float = 0.999, block: int = 512, seed: int = 5,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with the ``class`` that each row's words are (null without words or id)."""
+    depth = prefix_depth(threshold, trees, depth, recall)
 
     base = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs, text_col).alias("t"))
     linked = base.filter(F.col("doc_id").isNotNull() & has_terms(F.col("t")))
@@ -177,14 +184,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tre
     first = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
     per_class = materialize(named.join(first, "root").join(links, "class", "left").select(
         "class", "class_id", "copy_of", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "join-result")
-    out = members.select("doc_id", "class").join(per_class, "class").select("doc_id", "class_id", "copy_of", "n_links")
-    alone = base.filter(F.col("doc_id").isNull() | ~has_terms(F.col("t"))).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
+    out = members.select("doc_id", "class").join(per_class, "class").select("doc_id", "class", "class_id", "copy_of", "n_links")
+    alone = base.filter(F.col("doc_id").isNull() | ~has_terms(F.col("t"))).select(
+        "doc_id", F.lit(None).cast("bigint").alias("class"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with one document of each linked group: the one with the least id. Rows
-    without id stay, and equal rows of the document that stays are one document and stay together."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw)
-    gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    without id stay, and equal rows of the document that stays are one document and stay together.
+    Rows sharing an id with different texts go or stay each by itself."""
+    found = _judged(docs, id_col=id_col, text_col=text_col, **kw)
+    gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"), F.col("class").alias("_class")).distinct()
+    own = F.xxhash64(words(text_or_empty(docs, text_col)))
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (own == gone["_class"]), "left_anti")
