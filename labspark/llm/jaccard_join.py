@@ -1,10 +1,11 @@
-"""Near-duplicate join: word shingles, a forest of MinHash prefix tries, exact verification.
+"""Near-duplicate join: word shingles, MinHash banding, exact verification.
 
 Texts become words (A-Z lower-cased; runs of digits, letters and characters beyond ASCII) and sets of
 five-word shingles. Equal word sequences form one class, and only classes are compared. Each class has
-a signature per tree; a tree's sorted signatures are a trie, and classes meet where their prefixes
-agree. Prefixes start at ``depth`` values and are shortened until a pair exactly at the threshold meets
-in some tree with the target probability; pairs above it meet with a higher one.
+one hash per tree, of a signature of fixed depth, and classes meet where these hashes are equal. This
+banding stands in for a forest of prefix tries. The depth is the largest, up to ``depth`` values, at which
+a pair exactly at the threshold meets in some tree with the target probability; pairs above it meet with
+a higher one. It follows from the parameters alone, not from the data.
 
 Classes that meet form candidate groups (connected components). Each group is verified exactly: small
 groups share tasks, a large one is cut into blocks, and every pair of blocks is one unit of work, so
