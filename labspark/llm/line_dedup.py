@@ -1,9 +1,9 @@
 """Lines that many documents share are dropped everywhere but in one document.
 
-Line keys become 128-bit hashes, spread by range over (hash, document) and sorted by hash, document
-and position, so that a line found in a third of all documents fills as many partitions as it needs.
-Each sorted run yields its first document and its document count; runs of one key are merged from
-one row per partition. The result is a run-length compressed keep bitmap per document, not text.
+Line keys become 128-bit hashes. They are spread by range over (hash, document), reduced to one row per
+(hash, document) and then to the keeper and the document count per hash; a join takes these back to the
+lines. Grouping and the join replace a stream of sorted first occurrences, and the range exchange is not
+needed for them. The result is a run-length compressed keep bitmap per document, not text.
 
 Defined cases. Null or empty text: one empty line, never dropped. Null id: the row counts for
 nothing and keeps all lines. Rows sharing an id are one document (their lines count once, the
