@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labspark.llm import byte_bpe, interpolated_lm, jaccard_join, license_scan, line_dedup, mixing, one_bit_ann, quality_gam, quality_rules as rules, sharding
+from labspark.llm import byte_bpe, collocations, interpolated_lm, jaccard_join, license_scan, line_dedup, mixing, one_bit_ann, quality_gam, quality_rules as rules, sharding
 from labspark.llm.text import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,21 @@ def op10_jaccard_join(spark, sf_dir):
 def op6_interpolated_lm(spark, sf_dir):
     found = interpolated_lm.score(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+_PHRASES_SQL = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS w FROM d, unnest(ps) AS u(x)),
+tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, w[i:i + k - 1] AS ph, count(*) AS a FROM p, unnest(range(1, len(w) + 1)) AS u(i), unnest([1, 2, 3, 4]) AS v(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, ph, a, k, ph[1:k] AS lp, ph[k + 1:] AS rp FROM f, unnest([1, 2, 3]) AS u(k) WHERE k < len(ph)),
+cut AS (SELECT cand.*, lf.a AS l, rf.a AS r, (2000000::HUGEINT * cand.a) // (lf.a + rf.a) AS score FROM cand JOIN f AS lf ON lf.lang = cand.lang AND lf.ph = cand.lp JOIN f AS rf ON rf.lang = cand.lang AND rf.ph = cand.rp),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+inside AS (SELECT lang, ph[i:i + k - 1] AS ph, max(a) AS most FROM f, unnest([1, 2, 3]) AS u(i), unnest([2, 3]) AS v(k) WHERE k < len(ph) AND i + k - 1 <= len(ph) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, ph) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS rank, array_to_string(ph, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN tot USING (lang) QUALIFY rank <= 2000"""
+
+
+@_query("op11_collocations", _PHRASES_SQL)
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
