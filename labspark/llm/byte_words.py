@@ -44,16 +44,29 @@ def byte_kinds(blanks: bytes, breaks: bytes) -> np.ndarray:
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
 
 
+_BLOCK = 1 << 20  # bytes whose running sums are held at a time
+
+
 def split(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, hash (A-Z lower-cased) and piece number of each word of ``data`` (bytes)."""
     kind = kinds[data]
-    edge = np.diff(np.concatenate(([0], (kind == 0).view(np.int8), [0])).astype(np.int8))
+    edge = np.diff((kind == 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * up[:len(data)], out=sums[1:])
-    pieces = np.cumsum(kind == 2, dtype=np.int64)
-    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts]), pieces[starts]
+    h, piece = np.empty(len(starts), np.uint64), np.empty(len(starts), np.int64)
+    first, breaks, done = 0, 0, 0
+    while first < len(starts):
+        low = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, low + _BLOCK, "right")))
+        high = ends[last - 1]
+        up, down = _powers(1 << max(20, int(high - low).bit_length()))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_LOWER[data[low:high]] * up[:high - low], out=sums[1:])
+        x, y = starts[first:last] - low, ends[first:last] - low
+        h[first:last] = mix((sums[y] - sums[x]) * down[x])
+        passed = np.cumsum(kind[done:high] == 2, dtype=np.int64)
+        piece[first:last] = breaks + passed[x + (low - done)]
+        first, breaks, done = last, breaks + int(passed[-1]), high
+    return starts, ends, h, piece
 
 
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from labspark.session import materialize
 
 KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 SEGMENTS = 64
-_SLICE_BYTES = 24 << 20
+_SLICE_BYTES = 16 << 20
 _BITMAP_BITS = 1 << 15  # of one row of Spark's bitmap aggregate
 
 
