@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labspark.llm import byte_bpe, collocations, interpolated_lm, jaccard_join, license_scan, line_dedup, mixing, one_bit_ann, quality_gam, quality_rules as rules, sharding
-from labspark.llm.text import text_or_empty
+from labspark.llm import byte_bpe, collocations, interpolated_lm, jaccard_join, license_scan, line_dedup, mixing, one_bit_ann, periodic_runs, quality_gam, quality_rules as rules, sharding
+from labspark.llm.text import let, split_words, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +158,45 @@ FROM kept JOIN tot USING (lang) QUALIFY rank <= 2000"""
 @_query("op11_collocations", _PHRASES_SQL)
 def op11_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_CRC_SQL = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+ lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+_RUNS_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, xor({_CRC_SQL}, 4294967295) AS h FROM documents),
+e AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM d),
+x AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) ELSE w END AS w FROM e),
+pos AS (SELECT r, i, w[i + 1] AS word FROM x, unnest(range(n)) AS u(i)),
+eq AS (SELECT p.r, s.i - p.i AS q, p.i FROM pos AS p JOIN pos AS s ON s.r = p.r AND s.word = p.word AND s.i > p.i),
+st AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM eq) GROUP BY r, q, g),
+run AS (SELECT r, s, len, min(q) AS q FROM st WHERE len >= greatest(6, 4 * q) GROUP BY r, s, len),
+per AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM run GROUP BY r),
+best AS (SELECT b.r, b.s, b.len, b.q FROM run AS b LEFT JOIN run AS o ON o.r = b.r AND (o.len * b.q > b.len * o.q OR (o.len * b.q = b.len * o.q AND (o.s, o.q) < (b.s, b.q))) WHERE o.r IS NULL),
+gone AS (SELECT DISTINCT r, i FROM run, unnest(range(s + q, s + len)) AS u(i)),
+kept AS (SELECT pos.r, string_agg(word, ' ' ORDER BY pos.i) AS t FROM pos LEFT JOIN gone ON gone.r = pos.r AND gone.i = pos.i WHERE gone.i IS NULL GROUP BY pos.r)
+SELECT x.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period, 1000 * b.len // b.q AS exponent_milli,
+ sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256 FROM x LEFT JOIN per USING (r) LEFT JOIN best AS b USING (r) LEFT JOIN kept USING (r)"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` where the words of every tenth id, by crc32, repeat from one word on."""
+    h = F.crc32(docs["doc_id"].cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        a = g % F.size(w)
+        p = F.lit(1) + F.floor((F.size(w) - a) / (g % 8 + 3))
+        tail = F.transform(F.sequence(F.lit(0).cast("long"), F.size(w) - a - 1), lambda i: F.element_at(w, (a + i % p + 1).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), tail), " ")
+
+    text = text_or_empty(docs)
+    planted = let(split_words(text), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(""))
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(text).alias("text"))
+
+
+@_query("op12_periodic_runs", _RUNS_SQL)
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.array_join(F.array(x["start"], x["length"], x["period"]), ","), F.lit("\n"))), "")
+    best = F.col("best")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

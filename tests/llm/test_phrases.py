@@ -3,10 +3,12 @@
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
-from labspark.llm import collocations
+from labspark.llm import collocations, periodic_runs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -56,3 +58,75 @@ def test_collocations_of_nothing(spark, docs, empty):
     assert collocations.collocations(empty).collect() == []
     assert collocations.collocations(docs, min_count=10**9).collect() == []
     assert collocations.collocations(docs).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def plain_runs(words, least=6, periods=4):
+    """Period by period; an interval found for several periods belongs to the smallest."""
+    found = {}
+    for q in range(1, len(words) // periods + 1):
+        same = [words[i] == words[i + q] for i in range(len(words) - q)] + [False]
+        start = None
+        for i, s in enumerate(same):
+            if s and start is None:
+                start = i
+            elif not s and start is not None:
+                if i - start + q >= max(least, periods * q):
+                    found.setdefault((start, i - start + q), q)
+                start = None
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def plain_collapse(words, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def made_of_runs(rng, most=9):
+    words = []
+    for _ in range(rng.randrange(0, 6)):
+        unit = [str(rng.randrange(rng.choice([1, 2, 3, 10]))) for _ in range(rng.randrange(1, most))]
+        if rng.random() < 0.3:
+            unit *= rng.randrange(1, 8)
+        words += unit * rng.randrange(1, 8)
+        words = words[:len(words) - rng.randrange(0, 3)]
+    return words
+
+
+def test_block_runs():
+    rng = random.Random(12)
+    for _ in range(400):
+        texts = [made_of_runs(rng) for _ in range(rng.randrange(1, 5))]
+        got = periodic_runs._block([[w.encode() for w in t] for t in texts], 6, 4)
+        assert [r for r, _ in got] == [plain_runs(t) for t in texts]
+        assert [c.decode() for _, c in got] == [plain_collapse(t, r) for t, (r, _) in zip(texts, got)]
+
+
+def test_grammar_gives_the_text_back():
+    rng = random.Random(3)
+    words = [int(x) for x in made_of_runs(rng, 30) + ["7"] * 100 + made_of_runs(rng, 30)]
+    n = len(words)
+    symbol, place, first, cut, size = periodic_runs.derive(np.array(words), np.zeros(n, int))
+    for s, p in zip(symbol.tolist(), place.tolist()):  # every place of a nonterminal reads the same
+        assert words[p:p + size[s]] == words[first[s]:first[s] + size[s]]
+        assert first[s] < cut[s] < first[s] + size[s]
+    assert sorted(set(cut.tolist())) == sorted({cut[s] for s in symbol.tolist()})
+    assert {int(p + cut[s] - first[s]) for s, p in zip(symbol, place)} == set(range(1, n))  # every boundary is the cut of a node
+    assert len(size) < n / 2  # repeats are shared
+
+
+def test_periodic_runs(spark, docs, rows, empty):
+    rng = random.Random(5)
+    texts = [" \n".join(made_of_runs(rng)) for _ in range(60)] + ["ab " * 50_000, "中 文 " * 9 + "\x85 x"]
+    more = [(r[0], r[1]) for r in rows] + [(1000 + i, t) for i, t in enumerate(texts)] + [(1000, texts[0])] * 2
+    source = docs.sparkSession.createDataFrame([(*m, "r", "b") for m in more], "doc_id long, text string, runs string, best string").repartition(3)
+    got = sorted(((r.doc_id, r.n_words, [tuple(x) for x in r.runs], r.best and tuple(r.best), r.collapsed) for r in periodic_runs.periodic_runs(source).collect()), key=str)
+    want = []
+    for i, t in more:
+        words = re.findall(r"[^\x20\x09-\x0d]+", t or "")
+        runs = plain_runs(words) if len(words) < 5_000 else [(0, len(words), 1)] if len(set(words)) == 1 else []
+        best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+        want.append((i, len(words), runs, best, plain_collapse(words, runs)))
+    assert got == sorted(want, key=str)
+    assert periodic_runs.periodic_runs(empty).collect() == []
+    with pytest.raises(ValueError):
+        periodic_runs.periodic_runs(docs, min_exponent=3)
