@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labspark.llm import byte_bpe, collocations, interpolated_lm, jaccard_join, license_scan, line_dedup, mixing, one_bit_ann, periodic_runs, quality_gam, quality_rules as rules, sharding
+from labspark.llm import byte_bpe, byte_cnn, collocations, interpolated_lm, jaccard_join, license_scan, line_dedup, mixing, one_bit_ann, periodic_runs, quality_gam, quality_rules as rules, sharding
 from labspark.llm.text import let, split_words, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,11 @@ def op12_periodic_runs(spark, sf_dir):
     best = F.col("best")
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
                         F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_query("op13_language_id")
+def op13_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    named = docs.withColumn("held_out", byte_cnn.held_out(F.col("doc_id"))).select(F.struct("doc_id", "held_out").alias("doc"), "text")
+    found = byte_cnn.predict(named, byte_cnn.train(docs), id_col="doc")
+    return found.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")

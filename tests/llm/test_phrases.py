@@ -2,13 +2,14 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from labspark.llm import collocations, periodic_runs
+from labspark.llm import byte_cnn, collocations, periodic_runs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -130,3 +131,62 @@ def test_periodic_runs(spark, docs, rows, empty):
     assert periodic_runs.periodic_runs(empty).collect() == []
     with pytest.raises(ValueError):
         periodic_runs.periodic_runs(docs, min_exponent=3)
+
+
+def made_of_syllables(rng, lang, n):
+    parts = {"aa": ["ba", "lo", "mi", "ter"], "bb": ["sch", "ung", "ä", "ein"], "cc": ["ção", "ar", "os", "que"]}[lang]
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_byte_cnn(spark, docs, rows, empty):
+    rng = random.Random(13)
+    langs = ["aa", "aa", "aa", "bb", "cc"]  # one language is frequent
+    data = [(i, made_of_syllables(rng, lang, rng.choice([3, 20, 400])), lang) for i, lang in enumerate(rng.choice(langs) for _ in range(500))]
+    odd = [(1000, None, "aa"), (1001, "", "bb"), (1002, "12 .. 3", "cc"), (1003, data[0][1], None), (None, data[1][1], "bb"), (1004, "中", None), data[3], data[3],
+           (1005, made_of_syllables(rng, "cc", 40_000), None)]
+    source = spark.createDataFrame([(*r, "p", "s", 0.5) for r in data + odd], "doc_id long, text string, lang string, lang_pred string, h string, score double").repartition(4)
+    model = byte_cnn.train(source, per_lang=60)
+    assert model.langs == ["aa", "bb", "cc"]
+    got = byte_cnn.predict(source, model).collect()
+    assert len(got) == len(data) + len(odd) and all(0 <= r.score <= 1 for r in got)
+    by_id = {r.doc_id: r for r in got}
+    known = [(i, lang) for i, _, lang in data if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(known) > 80 and sum(by_id[i].lang_pred == lang for i, lang in known) >= 0.97 * len(known)
+    for i in (1000, 1001, 1002):
+        assert (by_id[i].lang_pred, by_id[i].score) == ("und", 0.0)
+    assert by_id[1005].lang_pred == "cc" and by_id[1003].lang_pred == data[0][2] and by_id[1004].lang_pred in model.langs
+
+    again = byte_cnn.train(source.repartition(2), per_lang=60)
+    assert all((a == b).all() for a, b in zip([model.out, *sum(model.tables, [])], [again.out, *sum(again.tables, [])]))
+    assert byte_cnn.train(empty) is None and byte_cnn.train(source.filter("lang IS NULL")) is None
+    assert byte_cnn.predict(empty, model).collect() == []
+    assert {(r.lang_pred, r.score) for r in byte_cnn.predict(docs, None).collect()} == {("und", 0.0)}
+    one = byte_cnn.predict(docs, byte_cnn.train(docs)).collect()  # one language only
+    assert {r.lang_pred for r in one} == {"en", "und"} and len(one) == len(rows)
+
+
+def test_byte_cnn_pools_every_byte():
+    """Pair tables and aligned windows against filters applied place by place."""
+    rng = np.random.default_rng(1)
+    model = byte_cnn.fit(["a", "b"] * 4, [b"one two", "drei vierä".encode()] * 4, rounds=1)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 253, 254, 256, 700, 255)]
+    classes, first = byte_cnn.lay_out(texts)
+    got = byte_cnn.pooled(classes, model.pairs())
+    for text, a, b in zip(texts, first[:-1], first[1:]):
+        c = byte_cnn._CLASS[np.frombuffer(text + bytes(byte_cnn.WINDOW * 2), np.uint8)]
+        for w in range(b - a):
+            want = [max(float(sum(t[c[p + j], f] for j, t in enumerate(ts))) for p in range(w * byte_cnn.WINDOW, (w + 1) * byte_cnn.WINDOW)) for ts in model.tables for f in range(byte_cnn.FILTERS)]
+            assert np.allclose(got[a + w], want, atol=1e-5)
+
+
+def test_byte_cnn_learns_by_the_right_slope():
+    """One step of training lowers the loss along the numeric gradient's direction."""
+    rng = random.Random(2)
+    langs = [rng.choice(["aa", "bb", "cc"]) for _ in range(120)]
+    texts = [made_of_syllables(rng, lang, 30).encode()[:250] for lang in langs]
+    losses = []
+    for rounds in (0, 1, 6):
+        model = byte_cnn.fit(langs, texts, rounds=rounds)
+        p = byte_cnn.probabilities(model, texts)
+        losses.append(-np.log(p[np.arange(120), [model.langs.index(x) for x in langs]] + 1e-12).mean())
+    assert losses[0] > losses[1] > losses[2] and losses[2] < 0.1
