@@ -56,29 +56,31 @@ class Cnn:
 
 
 def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte classes of all windows, ``_REACH`` classes of padding after each text at least, and the first window of each text and the end."""
-    windows = np.array([-(-(len(t) + _REACH) // WINDOW) for t in texts], np.int64)
+    """Byte classes of all windows, one row each with the next ``_REACH`` bytes of the text, and the first window of each text and the end."""
+    windows = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(windows)])
     data = np.zeros(int(first[-1]) * WINDOW + _REACH, np.uint8)
     for t, at in zip(texts, (first[:-1] * WINDOW).tolist(), strict=True):
         data[at:at + len(t)] = np.frombuffer(t, np.uint8)
-    return _CLASS[data], first
+    rows = np.lib.stride_tricks.sliding_window_view(data, WINDOW + _REACH)[::WINDOW][:first[-1]]
+    classes = _CLASS[rows]
+    classes[first[1:][windows > 0] - 1, WINDOW:] = 0  # behind the last window stands another text
+    return classes, first
 
 
 def pooled(classes: np.ndarray, pairs: list[list[np.ndarray]]) -> np.ndarray:
     """Largest value of every filter in every window."""
-    n = len(classes) // WINDOW
+    n = len(classes)
     out = np.empty((n, len(pairs) * FILTERS), np.float32)
     for low in range(0, n, _BLOCK):
         high = min(low + _BLOCK, n)
-        c = classes[low * WINDOW:high * WINDOW + _REACH]
-        both = c[:-1] * CLASSES + c[1:]
-        size = (high - low) * WINDOW
+        c = classes[low:high]
+        both = c[:, :-1] * CLASSES + c[:, 1:]
         for w, tables in enumerate(pairs):
-            value = tables[0].take(both[:size], axis=0)
+            value = tables[0].take(both[:, :WINDOW], axis=0)
             for k, t in enumerate(tables[1:], 1):
-                value += t.take((both if len(t) > CLASSES else c)[2 * k:2 * k + size], axis=0)
-            out[low:high, w * FILTERS:(w + 1) * FILTERS] = value.reshape(high - low, WINDOW, FILTERS).max(axis=1)
+                value += t.take((both if len(t) > CLASSES else c)[:, 2 * k:2 * k + WINDOW], axis=0)
+            out[low:high, w * FILTERS:(w + 1) * FILTERS] = value.max(axis=1)
     return out
 
 
@@ -91,7 +93,7 @@ def probabilities(model: Cnn, texts: list[bytes], pairs: list[list[np.ndarray]]
     """Per text and language."""
     classes, first = lay_out(texts)
     x = np.maximum(pooled(classes, pairs or model.pairs()) + model.bias, 0) @ model.out + model.out_bias
-    letters = (classes[:len(x) * WINDOW] > 3).reshape(-1, WINDOW).sum(axis=1)
+    letters = (classes[:, :WINDOW] > 3).sum(axis=1)
     total = np.zeros((len(texts), len(model.langs)))
     weight = np.zeros(len(texts))
     of = np.repeat(np.arange(len(texts)), np.diff(first))

@@ -169,7 +169,7 @@ def test_byte_cnn_pools_every_byte():
     """Pair tables and aligned windows against filters applied place by place."""
     rng = np.random.default_rng(1)
     model = byte_cnn.fit(["a", "b"] * 4, [b"one two", "drei vierä".encode()] * 4, rounds=1)
-    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 253, 254, 256, 700, 255)]
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 253, 0, 254, 256, 700, 255)]
     classes, first = byte_cnn.lay_out(texts)
     got = byte_cnn.pooled(classes, model.pairs())
     for text, a, b in zip(texts, first[:-1], first[1:]):
