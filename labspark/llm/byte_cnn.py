@@ -59,7 +59,7 @@ def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Byte classes of all windows, one row each with the next ``_REACH`` bytes of the text, and the first window of each text and the end."""
     windows = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(windows)])
-    data = np.zeros(int(first[-1]) * WINDOW + _REACH, np.uint8)
+    data = np.zeros(int(first[-1] + 1) * WINDOW + _REACH, np.uint8)
     for t, at in zip(texts, (first[:-1] * WINDOW).tolist(), strict=True):
         data[at:at + len(t)] = np.frombuffer(t, np.uint8)
     rows = np.lib.stride_tricks.sliding_window_view(data, WINDOW + _REACH)[::WINDOW][:first[-1]]
