@@ -52,8 +52,7 @@ _AGED_COMPARED = cte("fx_obs", "fx_patients") + AGED + """, compared AS (SELECT
     f"SELECT {_STATS}, '{_label(lo)}' AS age_min, '{_label(hi)}' AS age_max, '{_label(g)}' AS cohort_gender FROM compared WHERE {_cohort_where(lo, hi, g)} GROUP BY code, unit"
     for lo, hi, g in _COHORTS))
 def value_statistics_cohorts(t):
-    rows = describe.with_cohorts(compared(aged(t)))
-    return rounded(describe.value_statistics(rows, [*describe.COHORT_COLUMNS, "code", "unit"]))
+    return rounded(describe.cohort_statistics(compared(aged(t))))
 
 
 # tenths from 2 to 8, and one open bin at either end
@@ -80,9 +79,8 @@ SELECT code, unit, bin_start, bin_end, age_min, age_max, cohort_gender, CASE WHE
     _dist_sql(_cohort_where(lo, hi, g), f", '{_label(lo)}' AS age_min, '{_label(hi)}' AS age_max, '{_label(g)}' AS cohort_gender")
     + f" WHERE EXISTS (SELECT 1 FROM compared WHERE {_cohort_where(lo, hi, g)})" for lo, hi, g in _COHORTS) + ")")
 def value_distribution_cohorts(t):
-    from labspark.plans.description import cohort_distribution
     rows = compared(aged(t)).withColumn("value_compare", F.col("value_compare") / 16)
-    return k_mask(cohort_distribution(rows), "n", ["code", "unit", "bin_start", "bin_end", *describe.COHORT_COLUMNS])
+    return k_mask(describe.cohort_distribution(rows), "n", ["code", "unit", "bin_start", "bin_end", *describe.COHORT_COLUMNS])
 
 
 @query("monthly_counts", cte("fx_line") + """

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from labspark.functions.columns import add_all, as_list, join_nullsafe
 from labspark.functions.dates import month_of
 from labspark.functions.values import range_label
+from labspark.operators import cells
 from labspark.operators.quantiles import percentiles, with_percentiles
 from labspark.spec import AGE_BANDS, GENDERS, PERCENTILES, Cohort
 
@@ -31,24 +32,25 @@ def standard_cohorts() -> list[Cohort]:
     return [Cohort(lo, hi, g) for lo, hi in AGE_BANDS for g in GENDERS]
 
 
-def with_cohorts(df: DataFrame, cohorts: list[Cohort] | None = None, age="age", gender="gender") -> DataFrame:
-    """One row per (row, cohort it belongs to). Cohorts may overlap.
-
-    Bounds and gender are text, ``all`` where a cohort has no restriction.
-    """
-    def label(x):
-        return "all" if x is None else str(x)
+def cohort_groups(cohorts: list[Cohort] | None = None, age="age", gender="gender") -> list[tuple[Column, Column]]:
+    """Condition and labels of each cohort. Bounds and gender are text, ``all`` where a cohort has no restriction."""
+    def text(x):
+        return F.lit("all" if x is None else str(x))
 
-    def entry(c: Cohort):
+    out = []
+    for c in cohorts or standard_cohorts():
         cond = F.lit(True)
         if c.age_min is not None:
             cond = F.col(age).between(c.age_min, c.age_max)
         if c.gender is not None:
             cond = cond & (F.col(gender) == c.gender)
-        return F.when(cond, F.struct(F.lit(label(c.age_min)).alias("age_min"), F.lit(label(c.age_max)).alias("age_max"),
-                                     F.lit(label(c.gender)).alias("cohort_gender")))
+        out.append((cond, F.struct(*[text(x).alias(n) for x, n in zip((c.age_min, c.age_max, c.gender), COHORT_COLUMNS, strict=True)])))
+    return out
 
-    entries = F.array_compact(F.array(*[entry(c) for c in (cohorts or standard_cohorts())]))
+
+def with_cohorts(df: DataFrame, cohorts: list[Cohort] | None = None, age="age", gender="gender") -> DataFrame:
+    """One row per (row, cohort it belongs to). Cohorts may overlap; statistics over them do not need these rows (``cells``)."""
+    entries = F.array_compact(F.array(*[F.when(cond, label) for cond, label in cohort_groups(cohorts, age, gender)]))
     return df.withColumn("__c", F.explode(entries)).select(*df.columns, "__c.*")
 
 
@@ -63,39 +65,32 @@ def value_statistics(df: DataFrame, keys=("code", "unit"), value="value", compar
                      patient="patient", probs=None, digits: int = 3) -> DataFrame:
     """Moments, percentiles and counts relative to the reference range per group."""
     keys, probs = as_list(keys), probs or PERCENTILES
-    v, c = F.col(value), F.col(compare)
-    lo, hi = F.col("ref_low"), F.col("ref_high")
-    lo_r, hi_r = F.round(lo, digits), F.round(hi, digits)
-    has = v.isNotNull()
-    stats = df.groupBy(*keys).agg(
-        F.avg(v).alias("mean_value"), F.stddev(v).alias("sd_value"), F.min(v).alias("min_value"),
-        F.max(v).alias("max_value"), n_rows(), F.count_if(v.isNull()).alias("n_na"),
-        F.count_if(has & lo.isNotNull() & (c < lo_r)).alias("n_below_ref"),
-        F.count_if(has & (lo.isNotNull() | hi.isNotNull()) & (lo.isNull() | (c >= lo_r))
-                   & (hi.isNull() | (c <= hi_r))).alias("n_within_ref"),
-        F.count_if(has & hi.isNotNull() & (c > hi_r)).alias("n_above_ref"),
-        F.count_if(has & lo.isNull() & hi.isNull()).alias("n_no_ref"),
+    v = F.col(value)
+    where = cells.side(v, F.col(compare), F.round("ref_low", digits), F.round("ref_high", digits))
+    stats = df.withColumn("__side", where).groupBy(*keys).agg(
+        F.avg(v).alias("mean_value"), F.stddev(v).alias("sd_value"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), n_rows(),
+        *cells.side_counts(F.lit(1).cast("long"), F.col("__side")),
         sorted_labels(range_label("ref_low", "ref_high")).alias("reference_ranges"),
-        *[sorted_labels(u).alias(n) for u, n in (("ref_low_unit", "reference_low_units"),
-                                                 ("ref_high_unit", "reference_high_units")) if u in df.columns])
+        *[sorted_labels(u).alias(n) for u, n in cells.UNITS.items() if u in df.columns])
     patients = df.groupBy(*keys).agg(F.count_distinct(patient).alias("n_pat"))
     out = join_nullsafe(stats, patients, keys)
     return with_percentiles(out, df, keys, value, {**probs, "median_value": 0.5})
 
 
-def value_distribution(df: DataFrame, keys=("code", "unit"), value="value", compare="value_compare",
-                       lo: float = 2.0, hi: float = 8.0, per_unit: int = 10, spine: DataFrame | None = None) -> DataFrame:
-    """Histogram with zero-filled bins of width 1/per_unit and one open bin at each end.
+def cohort_statistics(df: DataFrame, cohorts: list[Cohort] | None = None, keys=("code", "unit"), **kw) -> DataFrame:
+    """``value_statistics`` per cohort and key, without a copy of the rows per cohort."""
+    return cells.group_statistics(df, cohort_groups(cohorts), keys, **kw)
 
-    ``spine`` holds the key combinations that get a full set of bins (default: those in ``df``).
-    """
-    keys = as_list(keys)
-    first, last = int(lo * per_unit), int(hi * per_unit) - 1
+
+def value_bin(compare, lo: float, hi: float, per_unit: int) -> Column:
+    """Number of the histogram bin; everything below ``lo`` and from ``hi`` on shares one bin each."""
     c = F.col(compare)
-    b = F.when(c < lo, first - 1).when(c >= hi, last + 1).otherwise(F.floor(c * per_unit)).cast("int")
-    rows = df.filter(F.col(value).isNotNull())
-    counted = rows.groupBy(*keys, b.alias("__bin")).agg(n_rows("__n"))
-    groups = rows.select(*keys).distinct() if spine is None else spine.select(*keys).distinct()
+    return F.when(c < lo, int(lo * per_unit) - 1).when(c >= hi, int(hi * per_unit)).otherwise(F.floor(c * per_unit)).cast("int")
+
+
+def fill_bins(counted: DataFrame, groups: DataFrame, keys, lo: float, hi: float, per_unit: int) -> DataFrame:
+    """Every bin of every group, from counts per (keys, __bin) in ``__n``."""
+    first, last = int(lo * per_unit), int(hi * per_unit) - 1
     bins = groups.withColumn("__bin", F.explode(F.sequence(F.lit(first - 1), F.lit(last + 1))))
     x = F.col("__bin")
     return zero_fill(counted, bins, [*keys, "__bin"], "__n").select(
@@ -105,6 +100,35 @@ def value_distribution(df: DataFrame, keys=("code", "unit"), value="value", comp
         F.col("__n").alias("n"))
 
 
+def value_distribution(df: DataFrame, keys=("code", "unit"), value="value", compare="value_compare",
+                       lo: float = 2.0, hi: float = 8.0, per_unit: int = 10, spine: DataFrame | None = None) -> DataFrame:
+    """Histogram with zero-filled bins of width 1/per_unit and one open bin at each end.
+
+    ``spine`` holds the key combinations that get a full set of bins (default: those in ``df``).
+    """
+    keys = as_list(keys)
+    rows = df.filter(F.col(value).isNotNull())
+    counted = rows.groupBy(*keys, value_bin(compare, lo, hi, per_unit).alias("__bin")).agg(n_rows("__n"))
+    groups = rows.select(*keys).distinct() if spine is None else spine.select(*keys).distinct()
+    return fill_bins(counted, groups, keys, lo, hi, per_unit)
+
+
+def cohort_distribution(df: DataFrame, cohorts: list[Cohort] | None = None, keys=("code", "unit"), value="value", compare="value_compare",
+                        lo: float = 2.0, hi: float = 8.0, per_unit: int = 10) -> DataFrame:
+    """Histogram per cohort with a full set of bins for every group of the whole table.
+
+    Cohorts without any row are left out.
+    """
+    keys, groups = as_list(keys), cohort_groups(cohorts)
+    rows = df.filter(F.col(value).isNotNull())
+    counted = cells.group_counts(rows.withColumn("__bin", value_bin(compare, lo, hi, per_unit)), groups, [*keys, "__bin"], n="__n")
+    # every group with every present cohort: both sides are small sets of labels, and the cohort
+    # labels are gathered into one array so that no join without keys is needed
+    present = cells.group_counts(df, groups, []).agg(F.collect_list(F.struct(*COHORT_COLUMNS)).alias("c")).scalar()
+    spine = rows.select(*keys).distinct().withColumn("__c", F.explode(present)).select(*keys, "__c.*")
+    return fill_bins(counted, spine, [*COHORT_COLUMNS, *keys], lo, hi, per_unit)
+
+
 def zero_fill(df: DataFrame, spine: DataFrame, on, count: str = "n") -> DataFrame:
     """Every row of the spine, with a count of 0 where ``df`` has none."""
     return join_nullsafe(spine, df, on).withColumn(count, F.coalesce(F.col(count), F.lit(0)).cast("bigint"))

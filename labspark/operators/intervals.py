@@ -1,52 +1,75 @@
-"""Assigning rows to intervals and events to parts of intervals."""
+"""Assigning rows to intervals and events to parts of intervals.
+
+No row meets an interval in a join. The borders of all intervals of a key cut time into stretches in which
+the same intervals hold; the best interval of every stretch is found once (``envelope``), and rows look up
+the last border before them (``seek``). Work grows with the number of intervals times the logarithm of
+the number that one key has, however many of them overlap.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from labspark.functions.columns import as_list, flag, join_optional
+from labspark.functions.columns import as_col, as_list, flag, join_optional
 from labspark.functions.dates import day_of, days, micros_between
-from labspark.operators.seek import BUCKET_DAYS, Source, attach, seek, time_bucket
+from labspark.operators.seek import Source, attach, seek
+from labspark.operators.segments import BUCKET, BUCKET_DAYS, LIMIT, cut, running, time_bucket
+from labspark.session import materialize
 from labspark.spec import INPATIENT_CLASSES
 
 
-def longest_only(intervals: DataFrame, by, enc_id, start, end) -> DataFrame:
-    """Drops every interval that lies inside a longer one of the same key.
+def tick() -> Column:
+    """The clock's resolution: [a, b] is [a, b + tick)."""
+    return F.expr("INTERVAL '0.000001' SECOND")
+
+
+def _dyadic(low: str, high: str) -> Column:
+    """The aligned blocks of 1, 2, 4, ... cells that cells ``low`` .. ``high`` - 1 are made of: at most two of a size."""
+    sizes = f"sequence(0, CAST(floor(log2({high} - {low})) AS INT))"
+    inside = f"transform({sizes}, k -> named_struct('k', k, 'l', shiftright({low} + shiftleft(1L, k) - 1L, k), 'r', shiftright({high}, k)))"
+    ends = ("array(IF(x.l < x.r AND x.l % 2 = 1, named_struct('level', x.k, 'node', x.l), NULL), "
+            "IF(x.l < x.r AND x.r % 2 = 1, named_struct('level', x.k, 'node', x.r - 1), NULL))")
+    return F.expr(f"filter(flatten(transform({inside}, x -> {ends})), x -> x IS NOT NULL)")
+
+
+def envelope(windows: DataFrame, by, low, high, rank, bucket_days: int = BUCKET_DAYS, limit: int = LIMIT) -> DataFrame:
+    """``pos`` and ``best`` per key: from each border on, up to the next, the least ``rank`` among the windows
+    [low, high) that hold there; NULL where none does.
 
-    Such an interval can never be the longest around a point. Equal intervals keep the smallest id.
+    Borders are numbered along time. A window covers a range of these numbers, which falls into few aligned blocks;
+    a block keeps its best window, and a stretch takes the best of the blocks around it, one of each size.
     """
     by = as_list(by)
-    spans = (intervals.groupBy(*by, start, end).agg(F.min(enc_id).alias(enc_id))
-             .groupBy(*by, start).agg(F.max(F.struct(F.col(end), F.col(enc_id))).alias("__m"))
-             .select(*by, start, F.col("__m")[end].alias(end), F.col("__m")[enc_id].alias(enc_id)))
-    reach = seek(spans, Source(spans, start, {"__reach": F.col(end)}, inclusive=False), by, start)
-    return (attach(spans, reach, [*by, start])
-            .filter(F.col("__reach").isNull() | (F.col("__reach") < F.col(end))).drop("__reach"))
+    w = (windows.select(*by, as_col(low).alias("__low"), as_col(high).alias("__high"), as_col(rank).alias("__rank"))
+         .dropna(subset=[*by, "__low", "__high"]).filter("__low < __high"))
+    w = materialize(w.groupBy(*by, "__low", "__high").agg(F.min("__rank").alias("__rank")), "windows")
+    borders = w.select(*by, F.explode(F.array("__low", "__high")).alias("pos")).distinct()
+    borders = materialize(borders.withColumns({BUCKET: time_bucket("pos", bucket_days), "cell": F.lit(1).cast("long")}), "borders")
+    borders, split = cut(borders, by, "pos", limit)
+    cells = materialize(running(borders, by, ["pos"], {"cell": F.sum}, split).select(*by, "pos", (F.col("cell") - 1).alias("cell")), "cells")
+
+    def numbered(name):
+        return cells.select(*by, F.col("pos").alias(f"__{name}"), F.col("cell").alias(name))
+
+    placed = w.join(numbered("low"), [*by, "__low"]).join(numbered("high"), [*by, "__high"])
+    blocks = placed.select(*by, "__rank", F.explode(_dyadic("low", "high")).alias("__b"))
+    blocks = blocks.groupBy(*by, F.col("__b.level").alias("level"), F.col("__b.node").alias("node")).agg(F.min("__rank").alias("best"))
+    top = cells.groupBy(*by).agg(F.floor(F.log2(F.max("cell") + 1)).cast("int").alias("__top"))
+    around = cells.join(top, by).select(*by, "pos", "cell", F.explode(F.sequence(F.lit(0), "__top")).alias("level"))
+    around = around.withColumn("node", F.expr("shiftright(cell, level)"))
+    found = around.join(blocks, [*by, "level", "node"]).groupBy(*by, "pos").agg(F.min("best").alias("best"))
+    return cells.select(*by, "pos").join(found, [*by, "pos"], "left")
 
 
 def in_interval(points: DataFrame, intervals: DataFrame, by, t, enc_id="enc_id", start="period_start",
-                end="period_end", bucket_days: int = BUCKET_DAYS) -> DataFrame:
-    """Longest interval around each distinct point (both ends in); ties take the smallest id.
-
-    Points meet only intervals of the same key and time bucket, and only those not covered by a
-    longer one, so the join stays near the number of points.
-    """
+                end="period_end", bucket_days: int = BUCKET_DAYS, limit: int = LIMIT) -> DataFrame:
+    """Longest interval around each distinct point (both ends in); ties take the smallest id."""
     by = as_list(by)
-    instants = (points.select(*by, t).dropna().distinct()
-                .withColumn("__bucket", time_bucket(t, bucket_days)))
-    # buckets without any point are not needed: an end far in the future costs nothing
-    span = points.agg(F.struct(F.min(time_bucket(t, bucket_days)).alias("lo"), F.max(time_bucket(t, bucket_days)).alias("hi")).alias("d")).scalar()
-    spans = longest_only(intervals, by, enc_id, start, end).withColumns({
-        "__lo": F.greatest(time_bucket(start, bucket_days), span["lo"]), "__hi": F.least(time_bucket(end, bucket_days), span["hi"])})
-    spans = (spans.filter(F.col("__lo") <= F.col("__hi"))
-             .withColumn("__bucket", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi"))
-    hits = (instants.join(spans, [*by, "__bucket"])
-            .filter((F.col(t) >= F.col(start)) & (F.col(t) <= F.col(end))))
-    best = F.struct((-micros_between(start, end)).alias("d"), F.col(enc_id).alias("id"),
-                    F.col(start).alias("s"), F.col(end).alias("e"))
-    return (hits.groupBy(*by, t).agg(F.min(best).alias("__b"))
-            .select(*by, t, F.col("__b")["id"].alias("enc_id"), F.col("__b")["s"].alias("enc_start"),
-                    F.col("__b")["e"].alias("enc_end")))
+    rank = F.struct((-micros_between(start, end)).alias("d"), F.col(enc_id).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"))
+    best = envelope(intervals, by, start, F.col(end) + tick(), rank, bucket_days, limit)
+    found = seek(points, Source(best, "pos", {"__b": F.struct("pos", "best")}), by, t, bucket_days=bucket_days, limit=limit)
+    hit = F.col("__b")["best"]
+    return found.filter(hit.isNotNull()).select(*by, t, hit["id"].alias("enc_id"), hit["s"].alias("enc_start"), hit["e"].alias("enc_end"))
 
 
 def closed_inpatient(intervals: DataFrame, cls="class", start="period_start", end="period_end",
@@ -110,7 +133,6 @@ def verify_assignment(df: DataFrame, recorded="enc_org", assigned="enc_id") -> D
 # part of an encounter -> rank; a lower rank wins when an event fits several encounters
 BUCKETS = {"day1": 1, "end_date": 2, "day2_3": 3, "day4_to_end": 4, "end_to_3d_after": 5,
            "3d_to_7d_after": 6, "7d_to_14d_after": 7, "remaining": 8}
-_FROM_END = ("end_date", "end_to_3d_after", "3d_to_7d_after", "7d_to_14d_after", "remaining")
 
 
 def encounter_windows(encounters: DataFrame) -> DataFrame:
@@ -126,70 +148,71 @@ def encounter_windows(encounters: DataFrame) -> DataFrame:
                 "win_end": F.when(amb, day_of("period_start") + days(1)).otherwise(F.col("period_end"))}))
 
 
-def _bucket_of(t):
-    t, s, e, stay = F.col(t), F.col("win_start"), F.col("win_end"), F.col("class") != "AMB"
-    early = lambda n: F.least(s + days(n), e)
-    # label, from, up to, whether the upper bound counts, stays only; a time takes the first row that it fits
-    table = [("day1", None, early(1), False, False), ("end_date", e - days(1), e, True, True), ("day2_3", None, early(3), False, True), ("day4_to_end", None, e, True, True),
-             ("end_to_3d_after", None, e + days(3), False, False), ("3d_to_7d_after", None, e + days(7), False, False), ("7d_to_14d_after", None, e + days(14), False, False)]
-    bucket = F.lit("remaining")
-    for label, low, high, closed, stays in reversed(table):
-        fits = (t <= high) if closed else (t < high)
-        fits = fits if low is None else fits & (t >= low)
-        bucket = F.when(fits & stay if stays else fits, label).otherwise(bucket)
-    return bucket
+def _part_windows(win: DataFrame, by, enc_id) -> DataFrame:
+    """One row per encounter and part of it: ``layer``, the window [low, high) and the ``rank`` of the encounter there.
+
+    A layer holds windows of one part and class rank for which the nearest start or end is always the latest,
+    or always the earliest, so that the order does not depend on the event.
+    """
+    amb = F.col("class") == "AMB"
+    s, e, start, end = F.col("win_start"), F.col("win_end"), F.col("period_start"), F.col("period_end")
+    day2, day4 = F.greatest(s, F.least(s + days(1), e)), F.greatest(s, F.least(s + days(3), e))
+    last_day, over = e - days(1), F.greatest(s, F.when(amb, e).otherwise(e + tick()))
+    # part, side, window, the time that the distance is measured to, whether the latest such time is nearest, which classes
+    parts = [("day1", "", F.when(amb, start).otherwise(s), F.least(s + days(1), e), start, True, None), ("day1", "ahead", s, start, start, False, amb),
+             ("end_date", "", F.greatest(last_day, day2), e + tick(), end, False, ~amb), ("day2_3", "", day2, F.least(s + days(3), last_day), start, True, ~amb),
+             ("day4_to_end", "", day4, last_day, start, True, ~amb), ("end_to_3d_after", "", over, e + days(3), end, True, None),
+             ("3d_to_7d_after", "", F.greatest(s, e + days(3)), e + days(7), end, True, None), ("7d_to_14d_after", "", F.greatest(s, e + days(7)), e + days(14), end, True, None)]
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    rows = []
+    for part, side, low, high, anchor, latest, only in parts:
+        signed = micros_between(zero, anchor) * (-1 if latest else 1)
+        rank = F.struct(signed.alias("w"), F.col(enc_id).alias("id"), F.col("class").alias("class"), anchor.alias("anchor"))
+        row = F.struct(F.concat_ws("|", F.lit(part), F.lit(side), F.col("__rank").cast("string")).alias("layer"), low.alias("low"), high.alias("high"), rank.alias("rank"))
+        rows.append(row if only is None else F.when(only, row))
+    return win.filter(e.isNotNull()).select(by, F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
+
+
+LAYERS = [(part, side, rank) for part in BUCKETS if part != "remaining" for side in ("", "ahead") for rank in (1, 2) if not side or (part, rank) == ("day1", 2)]
 
 
 def bucket_to_interval(events: DataFrame, encounters: DataFrame, by="patient", t="time", event_id="con_id",
-                       enc_id="enc_id", bucket_days: int = BUCKET_DAYS) -> DataFrame:
+                       enc_id="enc_id", bucket_days: int = BUCKET_DAYS, limit: int = LIMIT) -> DataFrame:
     """Best encounter of every event and the part of it the event falls into.
 
     Order of preference: part of the encounter, inpatient before outpatient, distance to the start
     or end of the period, then the smaller encounter id. Events before any encounter are dropped.
 
-    Encounters that ended less than 14 days before the event meet it in shared time buckets. Older
-    ones only matter when there is no other, and then only the one that ended last per class rank,
-    so a lookup along time finds them.
+    Every part of an encounter is a window of time. The best window of each part and class rank is known per stretch
+    of time (``envelope``), encounters over for 14 days or more are found by the one that ended last: one lookup
+    along time answers all of them for an instant, and the events are attached to the instants last.
     """
     encounters = encounters.select(by, enc_id, "class", "period_start", "period_end")
-    win = encounter_windows(encounters).withColumn("__rank", F.when(F.col("class").isin(*INPATIENT_CLASSES), 1).otherwise(2))
+    win = materialize(encounter_windows(encounters).withColumn("__rank", F.when(F.col("class").isin(*INPATIENT_CLASSES), 1).otherwise(2)), "encounter-windows")
     ev = events.select(event_id, by, t).dropna()
 
-    span = ev.agg(F.struct(F.min(time_bucket(t, bucket_days)).alias("lo"), F.max(time_bucket(t, bucket_days)).alias("hi")).alias("d")).scalar()
-    near = (win.withColumns({"__lo": F.greatest(time_bucket("win_start", bucket_days), span["lo"]),
-                             "__hi": F.least(time_bucket(F.col("win_end") + days(14), bucket_days), span["hi"])})
-            .filter(F.col("__lo") <= F.col("__hi"))
-            .withColumn("__bucket", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi"))
-    label = _bucket_of(t)
-    gap = F.abs(micros_between(F.when(F.col("b").isin(*_FROM_END), F.col("period_end")).otherwise(F.col("period_start")), t))
-    order = None
-    for name, n in BUCKETS.items():
-        order = F.when(F.col("b") == name, n) if order is None else order.when(F.col("b") == name, n)
-    hits = (ev.withColumn("__bucket", time_bucket(t, bucket_days)).join(near, [by, "__bucket"])
-            .filter((F.col(t) >= F.col("win_start")) & (F.col(t) < F.col("win_end") + days(14)))
-            .withColumn("b", label)
-            .select(event_id, by, t, F.struct(
-                order.alias("o"), F.col("__rank").alias("rank"), gap.alias("gap"),
-                F.col(enc_id).alias("id"), F.col("class").alias("class"), F.col("b").alias("b")).alias("c")))
+    parts = envelope(_part_windows(win, by, enc_id), [by, "layer"], "low", "high", "rank", bucket_days, limit)
+    names = {f"p{i}": "|".join([part, side, str(rank)]) for i, (part, side, rank) in enumerate(LAYERS)}
+    near = Source(parts, "pos", {n: F.when(F.col("layer") == layer, F.struct("pos", "best")) for n, layer in names.items()})
 
     # latest period end among encounters over for 14 days or more; smallest id of those that share it
     over = win.withColumn("__over", F.greatest(F.col("win_end") + days(14), F.col("win_start")))
     last = (over.groupBy(by, "__over", "__rank", "period_end")
             .agg(F.min(F.struct(F.col(enc_id).alias("id"), F.col("class").alias("class"))).alias("e")))
-    pick = F.struct(F.col("period_end").alias("t"), F.col("e")["id"].alias("id"), F.col("e")["class"].alias("class"))
-    old = seek(ev, Source(last, "__over", {f"r{r}": F.when(F.col("__rank") == r, pick) for r in (1, 2)}), by, t)
+    pick = F.struct(F.col("period_end").alias("anchor"), F.col("e")["id"].alias("id"), F.col("e")["class"].alias("class"))
+    old = Source(last, "__over", {f"r{r}": F.when(F.col("__rank") == r, pick) for r in (1, 2)})
 
-    def remaining(r):
-        c = F.col(f"r{r}")
+    def choice(c, part, rank):
         return F.when(c.isNotNull(), F.struct(
-            F.lit(BUCKETS["remaining"]).alias("o"), F.lit(r).alias("rank"),
-            F.abs(micros_between(c["t"], t)).alias("gap"), c["id"].alias("id"), c["class"].alias("class"),
-            F.lit("remaining").alias("b")))
-
-    rest = (attach(ev, old, [by, t]).withColumn("c", F.least(remaining(1), remaining(2)))
-            .filter(F.col("c").isNotNull()).select(event_id, by, t, "c"))
-    best = (hits.unionByName(rest).groupBy(event_id)
-            .agg(F.min(F.struct(F.col("c"), F.col(by).alias("by"), F.col(t).alias("t"))).alias("m")))
+            F.lit(BUCKETS[part]).alias("o"), F.lit(rank).alias("rank"), F.abs(micros_between(c["anchor"], t)).alias("gap"),
+            c["id"].alias("id"), c["class"].alias("class"), F.lit(part).alias("b")))
+
+    found = seek(ev, [near, old], by, t, bucket_days=bucket_days, limit=limit)
+    choices = [choice(F.col(f"p{i}")["best"], part, rank) for i, (part, _, rank) in enumerate(LAYERS)] + [choice(F.col(f"r{r}"), "remaining", r) for r in (1, 2)]
+    best = found.select(by, t, F.least(*choices).alias("c")).filter(F.col("c").isNotNull())
+    # rows of one event id at several times: the best of them
+    per_event = (attach(ev, best, [by, t]).filter(F.col("c").isNotNull()).groupBy(event_id)
+                 .agg(F.min(F.struct(F.col("c"), F.col(by).alias("by"), F.col(t).alias("t"))).alias("m")))
     m = F.col("m")
-    return best.select(event_id, m["by"].alias(by), m["t"].alias(t), m["c"]["class"].alias("class"),
-                       m["c"]["id"].alias("enc_id"), m["c"]["b"].alias("time_bucket"))
+    return per_event.select(event_id, m["by"].alias(by), m["t"].alias(t), m["c"]["class"].alias("class"),
+                            m["c"]["id"].alias("enc_id"), m["c"]["b"].alias("time_bucket"))

@@ -9,9 +9,11 @@ A key may hold a large share of all rows. Two things keep every task small:
 
 * rows are first reduced to one per (key, instant) with partial aggregation, so a group is bounded
   by the resolution of the clock and not by the number of rows;
-* the sequence of a key is cut into time buckets that are scanned independently. What a bucket
-  inherits from the buckets before it is computed from one summary row per bucket and enters the
-  scan as its first row.
+* the sequence of a key is cut into time buckets, and a crowded bucket into segments of even size,
+  that are scanned independently (``segments``). What a segment inherits from those before it is
+  computed from one summary row each and enters the scan as its first row.
+
+The merged rows are stored once: they are measured, summed up and scanned.
 """
 
 from __future__ import annotations
@@ -19,18 +21,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from labspark.functions.columns import as_col, as_list
+from labspark.operators.segments import BUCKET, BUCKET_DAYS, LIMIT, cut, running, time_bucket
+from labspark.session import materialize
 
-BUCKET_DAYS = 28
-POS, KIND, BUCKET = "__pos", "__kind", "__bucket"
-_EVENT_FIRST, _PROBE, _EVENT_LAST, _CARRY = 0, 1, 2, -1
-
-
-def time_bucket(t, width: int = BUCKET_DAYS) -> Column:
-    """Number of the time bucket that holds ``t``."""
-    return F.floor(F.unix_date(as_col(t).cast("date")) / F.lit(width)).cast("int")
+POS, KIND = "__pos", "__kind"
+_EVENT_FIRST, _PROBE, _EVENT_LAST = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -50,7 +48,7 @@ class Source:
 
 
 def seek(probes: DataFrame, sources, by, at, ahead: bool = False,
-         bucket_days: int = BUCKET_DAYS) -> DataFrame:
+         bucket_days: int = BUCKET_DAYS, limit: int = LIMIT) -> DataFrame:
     """One row per distinct (by, at) of the probes with every pick of every source.
 
     Looking back a pick is the maximum over events up to ``at``, looking ahead the minimum over
@@ -74,20 +72,9 @@ def seek(probes: DataFrame, sources, by, at, ahead: bool = False,
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     rows = (rows.withColumn(BUCKET, time_bucket(POS, bucket_days))
             .groupBy(*by, BUCKET, POS, KIND).agg(*[extreme(n).alias(n) for n in names]))
-
-    order = [F.col(c).desc() if ahead else F.col(c).asc() for c in (POS, KIND)]
-    bucket_order = F.col(BUCKET).desc() if ahead else F.col(BUCKET).asc()
-    earlier = Window.partitionBy(*by).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (rows.groupBy(*by, BUCKET).agg(*[extreme(n).alias(n) for n in names])
-               .select(*by, BUCKET, F.lit(None).cast("timestamp_ntz").alias(POS),
-                       F.lit(_CARRY).alias(KIND), *[extreme(n).over(earlier).alias(n) for n in names]))
-    scan = (Window.partitionBy(*by, BUCKET)
-            .orderBy((F.col(KIND) == _CARRY).desc(), *order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (rows.unionByName(carried)
-            .select(*by, POS, KIND, *[extreme(n).over(scan).alias(n) for n in names])
-            .filter(F.col(KIND) == _PROBE)
-            .select(*by, F.col(POS).alias(at if isinstance(at, str) else "at"), *names))
+    rows, split = cut(materialize(rows, "instants"), by, POS, limit)
+    found = running(rows, by, [POS, KIND], {n: extreme for n in names}, split, ahead)
+    return found.filter(F.col(KIND) == _PROBE).select(*by, F.col(POS).alias(at if isinstance(at, str) else "at"), *names)
 
 
 def attach(df: DataFrame, found: DataFrame, on) -> DataFrame:

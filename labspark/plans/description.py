@@ -14,23 +14,6 @@ STATISTICS_COLUMNS = ("obs_id", "code", "value", "unit", "ref_low", "ref_high",
                       "time", "gender", "age", "pat_id", "patient")
 
 
-def cohort_distribution(df: DataFrame, cohorts=None, keys=KEYS) -> DataFrame:
-    """Histogram per cohort with a full set of bins for every group of the whole table.
-
-    Cohorts without any row are left out.
-    """
-    keys = list(keys)
-    rows = describe.with_cohorts(df, cohorts)
-    # groups come from the whole table: the unrestricted cohort may be absent from ``cohorts``
-    groups = df.filter(F.col("value").isNotNull()).select(*keys).distinct()
-    present = rows.select(*describe.COHORT_COLUMNS).distinct()
-    # every group with every present cohort: both sides are small sets of labels, and the cohort
-    # labels are gathered into one array so that no join without keys is needed
-    labels = present.agg(F.collect_list(F.struct(*describe.COHORT_COLUMNS)).alias("c")).scalar()
-    spine = groups.withColumn("__c", F.explode(labels)).select(*keys, "__c.*")
-    return describe.value_distribution(rows, [*describe.COHORT_COLUMNS, *keys], spine=spine)
-
-
 def describe_measurements(base: DataFrame, raw: DataFrame | None = None, k: int = 5, cohorts=None) -> dict[str, DataFrame]:
     """All result tables of the description part.
 
@@ -38,10 +21,10 @@ def describe_measurements(base: DataFrame, raw: DataFrame | None = None, k: int
     status-filtered extract for the completeness table.
     """
     rows = materialize(base.select(*[c for c in STATISTICS_COLUMNS if c in base.columns]).distinct(), "described")
-    stats = describe.value_statistics(describe.with_cohorts(rows, cohorts), [*describe.COHORT_COLUMNS, *KEYS])
+    stats = describe.cohort_statistics(rows, cohorts, KEYS)
     out = {
         "statistics": k_mask(stats, "n_pat", [*describe.COHORT_COLUMNS, *KEYS], k),
-        "distribution": k_mask(cohort_distribution(rows, cohorts), "n", [*describe.COHORT_COLUMNS, *KEYS, "bin_start", "bin_end"], k),
+        "distribution": k_mask(describe.cohort_distribution(rows, cohorts, KEYS), "n", [*describe.COHORT_COLUMNS, *KEYS, "bin_start", "bin_end"], k),
         "timeline": k_mask(describe.monthly_counts(rows.select("code", "value", "unit", "obs_id", "time").distinct()), "n", [*KEYS, "month"], k),
         "age_gender": describe.age_gender_report(rows),
     }
