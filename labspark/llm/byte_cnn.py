@@ -178,12 +178,15 @@ def train(docs: DataFrame, per_lang: int = 1_500, windows: int = 3, id_col: str
     """A network learned from documents that are not held out; None without any. The driver sees ``per_lang`` x ``windows`` short rows per language at most."""
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), F.xxhash64(docs[id_col]).alias("h"), docs[text_col].cast("string").alias("text"),
                        held_out(docs[id_col]).alias("out")).filter(~F.col("out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    bounds = rows.select("lang", "h").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= per_lang).groupBy("lang").agg(F.max("h").alias("top")).collect()
+    # smallest hashes by their leading 16 bits: few counts per language, whatever the number of documents
+    rows = rows.withColumn("lead", F.shiftright("h", 48))
+    sizes = rows.groupBy("lang", "lead").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("lead")) - F.col("n")
+    bounds = sizes.withColumn("before", before).filter(F.col("before") < per_lang).groupBy("lang").agg(F.max("lead").alias("top")).collect()
     if not bounds:
         return None
     tops = F.create_map(*[F.lit(v) for b in bounds for v in (b.lang, b.top)])  # one entry per language
-    chosen = rows.filter(F.col("h") <= tops[F.col("lang")]).select("lang", "h", "text").mapInArrow(_spread(windows), "lang string, h long, part binary")
+    chosen = rows.filter(F.col("lead") <= tops[F.col("lang")]).select("lang", "h", "text").mapInArrow(_spread(windows), "lang string, h long, part binary")
     sample = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).filter(F.col("n") <= per_lang * windows).select("lang", "part").collect()
     sample = sorted((r.lang, bytes(r.part)) for r in sample)
     return fit([x for x, _ in sample], [t for _, t in sample]) if sample else None
