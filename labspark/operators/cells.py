@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from labspark.functions.columns import as_list, join_nullsafe
 from labspark.functions.values import range_label
 from labspark.operators.quantiles import percentiles_of_counts
-from labspark.session import materialize
 from labspark.spec import PERCENTILES
 
 WORD = 62  # groups per mask column
@@ -28,6 +27,25 @@ def masks(conditions, name: str = "__mask") -> dict[str, Column]:
     return out
 
 
+def crossed_masks(sides: list[list[tuple[object, Column | None]]], name: str = "__mask") -> dict[str, Column]:
+    """Masks of groups that are conjunctions: ``sides`` has, per side, the condition of every group with a value that tells
+    equal conditions apart. Each distinct condition is stated once: 8 bands and 3 genders are 11 conditions, not 48."""
+    out = {}
+    for j in range(0, max(len(sides[0]), 1), WORD):
+        word = None
+        for side in sides:
+            bits, conditions = {}, {}
+            for i, (key, cond) in enumerate(side[j:j + WORD]):
+                bits[key] = bits.get(key, 0) | 1 << i
+                conditions[key] = cond
+            one = F.lit(0).cast("long")
+            for key, cond in conditions.items():  # equal conditions share a term; different ones have no bit in common
+                one = one + (F.lit(bits[key]).cast("long") if cond is None else F.when(cond, F.lit(bits[key]).cast("long")).otherwise(F.lit(0).cast("long")))
+            word = one if word is None else word.bitwiseAND(one)
+        out[f"{name}{j // WORD}"] = word
+    return out
+
+
 def has_bit(i: int, name: str = "__mask") -> Column:
     return F.col(f"{name}{i // WORD}").bitwiseAND(F.lit(1 << (i % WORD))) != 0
 
@@ -55,37 +73,29 @@ def side_counts(n: Column, side: Column) -> list[Column]:
 UNITS = {"ref_low_unit": "reference_low_units", "ref_high_unit": "reference_high_units"}
 
 
-def group_statistics(df: DataFrame, groups: list[tuple[Column | None, Column]], keys=("code", "unit"), value="value", compare="value_compare",
+def group_statistics(df: DataFrame, word: dict[str, Column], labels: list[Column], keys=("code", "unit"), value="value", compare="value_compare",
                      patient="patient", probs=None, digits: int = 3) -> DataFrame:
-    """``describe.value_statistics`` per group and key. ``groups``: condition and label (a struct) of each; they may overlap.
+    """``describe.value_statistics`` per group and key. ``word``: the groups' mask columns, ``labels``: a struct per group.
 
-    The table is read twice: once for the cube of values, once for the patients. A patient's groups are the
-    union of the rows' masks, so that distinct patients are counted by mask.
+    The rows are reduced three times, to cells, to values and to patients per mask. A patient's groups are the union of
+    the rows' masks, so that distinct patients are counted by mask.
     """
     keys, probs = as_list(keys), {**(probs or PERCENTILES), "median_value": 0.5}
-    word = masks([c for c, _ in groups])
-    labels = {i: label for i, (_, label) in enumerate(groups)}
-    names = list(word)
+    labels, names = dict(enumerate(labels)), list(word)
     units = [u for u in UNITS if u in df.columns]
-    member = ~_all_zero(names)
     low, high = F.round("ref_low", digits), F.round("ref_high", digits)
+    v = F.col("__v")
     rows = df.withColumns({**word, "__v": F.col(value).cast("double"), "__side": side(F.col(value), F.col(compare), low, high), "__range": range_label("ref_low", "ref_high")})
-    cube = materialize(rows.filter(member).groupBy(*keys, *names, "__v", "__side", "__range", *units).agg(F.count(F.lit(1)).alias("__n")), "cohort-cells")
 
-    v, n = F.col("__v"), F.col("__n")
-    counted = F.when(v.isNotNull(), n)
     texts = {"reference_ranges": "__range", **{UNITS[u]: u for u in units}}
-    cells = cube.groupBy(*keys, *names).agg(
-        F.sum(n).alias("n"), F.sum(counted).alias("__k"), F.sum(counted * v).alias("__s"), F.min(v).alias("min_value"), F.max(v).alias("max_value"),
-        *side_counts(n, F.col("__side")), *[F.collect_set(c).alias(t) for t, c in texts.items()])
-    means = cells.select(*keys, *names, (F.col("__s") / F.col("__k")).alias("__mean"))
-    # squares around the cell's own mean, then around the group's: no difference of large sums
-    spread = join_nullsafe(cube.filter(v.isNotNull()), means, [*keys, *names]).groupBy(*keys, *names).agg(F.sum(n * (v - F.col("__mean")) * (v - F.col("__mean"))).alias("__q"))
-    each = unmask(join_nullsafe(cells, spread, [*keys, *names]), labels)
-    by = [c for c in each.columns if c not in {*cells.columns, "__q"}] + keys
+    cells = rows.groupBy(*keys, *names).agg(
+        F.count(F.lit(1)).alias("n"), F.count(v).alias("__k"), F.sum(v).alias("__s"), F.avg(v).alias("__avg"), (F.var_pop(v) * F.count(v)).alias("__q"),
+        F.min(v).alias("min_value"), F.max(v).alias("max_value"), *side_counts(F.lit(1).cast("long"), F.col("__side")), *[F.collect_set(c).alias(t) for t, c in texts.items()])
+    each = unmask(cells, labels)
+    by = [c for c in each.columns if c not in cells.columns] + keys
     group = Window.partitionBy(*by)  # a group's cells: one per mask
     each = each.withColumn("__mean", F.sum("__s").over(group) / F.sum("__k").over(group))
-    off = F.col("__s") / F.col("__k") - F.col("__mean")
+    off = F.col("__avg") - F.col("__mean")  # squares around the cell's mean, then around the group's: no difference of large sums
     sums = ("n", "n_na", "n_below_ref", "n_within_ref", "n_above_ref", "n_no_ref")
     stats = each.groupBy(*by).agg(
         F.first("__mean").alias("mean_value"), F.sum(F.col("__q") + F.when(F.col("__k") > 0, F.col("__k") * off * off)).alias("__q"), F.sum("__k").alias("__k"),
@@ -94,28 +104,19 @@ def group_statistics(df: DataFrame, groups: list[tuple[Column | None, Column]],
     stats = stats.select(*by, "mean_value", F.when(F.col("__k") > 1, F.sqrt(F.col("__q") / (F.col("__k") - 1))).alias("sd_value"), "min_value", "max_value", *sums,
                          *[F.when(F.size(t) > 0, F.array_join(t, ", ")).alias(t) for t in texts])
 
-    per_patient = rows.filter(member & F.col(patient).isNotNull()).groupBy(*keys, patient).agg(*[F.bit_or(m).alias(m) for m in names])
+    per_patient = rows.filter(F.col(patient).isNotNull()).groupBy(*keys, patient).agg(*[F.bit_or(m).alias(m) for m in names])
     patients = unmask(per_patient.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__p")), labels).groupBy(*by).agg(F.sum("__p").alias("n_pat"))
     out = join_nullsafe(stats, patients, by).withColumn("n_pat", F.coalesce("n_pat", F.lit(0)))
 
-    values = cube.filter(v.isNotNull()).groupBy(*keys, *names, v.alias("v")).agg(F.sum(n).alias("n"))
+    values = rows.filter(v.isNotNull()).groupBy(*keys, *names, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     counts = unmask(values, labels).groupBy(*by, "v").agg(F.sum("n").alias("n"))
     return join_nullsafe(out, percentiles_of_counts(counts, by, probs), by)
 
 
-def _all_zero(names) -> Column:
-    zero = F.lit(True)
-    for m in names:
-        zero = zero & (F.col(m) == 0)
-    return zero
-
-
-def group_counts(df: DataFrame, groups: list[tuple[Column | None, Column]], keys, sums: dict[str, Column] | None = None, n: str = "n") -> DataFrame:
+def group_counts(df: DataFrame, word: dict[str, Column], labels: list[Column], keys, sums: dict[str, Column] | None = None, n: str = "n") -> DataFrame:
     """Rows, and sums of columns, per group and key."""
     keys = as_list(keys)
-    word = masks([c for c, _ in groups])
-    names = list(word)
-    cells = df.withColumns(word).filter(~_all_zero(names)).groupBy(*keys, *names).agg(F.count(F.lit(1)).alias(n), *[c.alias(s) for s, c in (sums or {}).items()])
-    each = unmask(cells, {i: label for i, (_, label) in enumerate(groups)})
-    by = [c for c in each.columns if c not in {*cells.columns} or c in keys]
+    cells = df.withColumns(word).groupBy(*keys, *word).agg(F.count(F.lit(1)).alias(n), *[c.alias(s) for s, c in (sums or {}).items()])
+    each = unmask(cells, dict(enumerate(labels)))
+    by = [c for c in each.columns if c not in cells.columns or c in keys]
     return each.groupBy(*by).agg(F.sum(n).alias(n), *[F.sum(s).alias(s) for s in (sums or {})])

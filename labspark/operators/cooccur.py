@@ -60,8 +60,8 @@ def in_window(df: DataFrame, window, t="time") -> DataFrame:
     return df.filter((F.col(t) >= F.lit(lo)) & (F.col(t) < F.lit(hi)))
 
 
-def named_groups(conditions: dict, name="cohort") -> list[tuple[Column | None, Column]]:
-    return [(c, F.struct(F.lit(n).alias(name))) for n, c in conditions.items()]
+def named_groups(conditions: dict, name="cohort") -> tuple[dict[str, Column], list[Column]]:
+    return masks(conditions.values()), [F.struct(F.lit(n).alias(name)) for n in conditions]
 
 
 def flag_sums(flags) -> dict[str, Column]:
@@ -93,14 +93,14 @@ def _lab_table(sums: DataFrame, keys, labels) -> DataFrame:
 def cooccurrence(df: DataFrame, flags, result: str, cohorts: dict, window=None, extra_keys=()) -> DataFrame:
     """Per flag, cohort and result class: rows with the flag, without it, and all rows."""
     extra = as_list(extra_keys)
-    sums = group_counts(in_window(df, window), named_groups(cohorts), [*extra, result], flag_sums(flags), "n_total")
+    sums = group_counts(in_window(df, window), *named_groups(cohorts), [*extra, result], flag_sums(flags), "n_total")
     return _flag_table(sums, [*extra, "cohort", result], flags)
 
 
 def lab_cooccurrence(df: DataFrame, labels, result: str, cohorts: dict, extra_keys=()) -> DataFrame:
     """Per label and side: rows with an abnormal, a normal and any result of the label."""
     extra = as_list(extra_keys)
-    sums = group_counts(df, named_groups(cohorts), [*extra, result], lab_sums(labels))
+    sums = group_counts(df, *named_groups(cohorts), [*extra, result], lab_sums(labels))
     return _lab_table(sums, [*extra, "cohort", result], labels)
 
 
@@ -142,7 +142,7 @@ def _followup_table(sums: DataFrame, keys) -> DataFrame:
 def followup_cooccurrence(df: DataFrame, result: str, extra_keys=()) -> DataFrame:
     """Per cohort and result class: what the next measurement within the cohort's time limit shows."""
     extra = as_list(extra_keys)
-    sums = group_counts(df, named_groups(followup_groups()), [*extra, result], followup_sums(), "n_total")
+    sums = group_counts(df, *named_groups(followup_groups()), [*extra, result], followup_sums(), "n_total")
     return _followup_table(sums, [*extra, "cohort", result])
 
 

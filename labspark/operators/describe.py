@@ -32,25 +32,25 @@ def standard_cohorts() -> list[Cohort]:
     return [Cohort(lo, hi, g) for lo, hi in AGE_BANDS for g in GENDERS]
 
 
-def cohort_groups(cohorts: list[Cohort] | None = None, age="age", gender="gender") -> list[tuple[Column, Column]]:
-    """Condition and labels of each cohort. Bounds and gender are text, ``all`` where a cohort has no restriction."""
-    def text(x):
-        return F.lit("all" if x is None else str(x))
-
-    out = []
-    for c in cohorts or standard_cohorts():
-        cond = F.lit(True)
-        if c.age_min is not None:
-            cond = F.col(age).between(c.age_min, c.age_max)
-        if c.gender is not None:
-            cond = cond & (F.col(gender) == c.gender)
-        out.append((cond, F.struct(*[text(x).alias(n) for x, n in zip((c.age_min, c.age_max, c.gender), COHORT_COLUMNS, strict=True)])))
-    return out
+def _labels(c: Cohort) -> Column:
+    return F.struct(*[F.lit("all" if x is None else str(x)).alias(n) for x, n in zip((c.age_min, c.age_max, c.gender), COHORT_COLUMNS, strict=True)])
+
+
+def cohort_masks(cohorts: list[Cohort] | None = None, age="age", gender="gender") -> tuple[dict[str, Column], list[Column]]:
+    """Mask columns of the cohorts (``cells``) and the labels of each. Bounds and gender are text, ``all`` where a cohort has no restriction."""
+    chosen = cohorts or standard_cohorts()
+    ages = [((c.age_min, c.age_max), None if c.age_min is None else F.col(age).between(c.age_min, c.age_max)) for c in chosen]
+    genders = [(c.gender, None if c.gender is None else F.col(gender) == c.gender) for c in chosen]
+    return cells.crossed_masks([ages, genders]), [_labels(c) for c in chosen]
 
 
 def with_cohorts(df: DataFrame, cohorts: list[Cohort] | None = None, age="age", gender="gender") -> DataFrame:
     """One row per (row, cohort it belongs to). Cohorts may overlap; statistics over them do not need these rows (``cells``)."""
-    entries = F.array_compact(F.array(*[F.when(cond, label) for cond, label in cohort_groups(cohorts, age, gender)]))
+    def entry(c: Cohort):
+        cond = F.lit(True) if c.age_min is None else F.col(age).between(c.age_min, c.age_max)
+        return F.when(cond if c.gender is None else cond & (F.col(gender) == c.gender), _labels(c))
+
+    entries = F.array_compact(F.array(*[entry(c) for c in (cohorts or standard_cohorts())]))
     return df.withColumn("__c", F.explode(entries)).select(*df.columns, "__c.*")
 
 
@@ -79,7 +79,7 @@ def value_statistics(df: DataFrame, keys=("code", "unit"), value="value", compar
 
 def cohort_statistics(df: DataFrame, cohorts: list[Cohort] | None = None, keys=("code", "unit"), **kw) -> DataFrame:
     """``value_statistics`` per cohort and key, without a copy of the rows per cohort."""
-    return cells.group_statistics(df, cohort_groups(cohorts), keys, **kw)
+    return cells.group_statistics(df, *cohort_masks(cohorts), keys, **kw)
 
 
 def value_bin(compare, lo: float, hi: float, per_unit: int) -> Column:
@@ -119,12 +119,12 @@ def cohort_distribution(df: DataFrame, cohorts: list[Cohort] | None = None, keys
 
     Cohorts without any row are left out.
     """
-    keys, groups = as_list(keys), cohort_groups(cohorts)
+    keys, groups = as_list(keys), cohort_masks(cohorts)
     rows = df.filter(F.col(value).isNotNull())
-    counted = cells.group_counts(rows.withColumn("__bin", value_bin(compare, lo, hi, per_unit)), groups, [*keys, "__bin"], n="__n")
+    counted = cells.group_counts(rows.withColumn("__bin", value_bin(compare, lo, hi, per_unit)), *groups, [*keys, "__bin"], n="__n")
     # every group with every present cohort: both sides are small sets of labels, and the cohort
     # labels are gathered into one array so that no join without keys is needed
-    present = cells.group_counts(df, groups, []).agg(F.collect_list(F.struct(*COHORT_COLUMNS)).alias("c")).scalar()
+    present = cells.group_counts(df, *groups, []).agg(F.collect_list(F.struct(*COHORT_COLUMNS)).alias("c")).scalar()
     spine = rows.select(*keys).distinct().withColumn("__c", F.explode(present)).select(*keys, "__c.*")
     return fill_bins(counted, spine, [*COHORT_COLUMNS, *keys], lo, hi, per_unit)
 

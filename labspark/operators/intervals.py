@@ -44,7 +44,7 @@ def envelope(windows: DataFrame, by, low, high, rank, bucket_days: int = BUCKET_
          .dropna(subset=[*by, "__low", "__high"]).filter("__low < __high"))
     w = materialize(w.groupBy(*by, "__low", "__high").agg(F.min("__rank").alias("__rank")), "windows")
     borders = w.select(*by, F.explode(F.array("__low", "__high")).alias("pos")).distinct()
-    borders = materialize(borders.withColumns({BUCKET: time_bucket("pos", bucket_days), "cell": F.lit(1).cast("long")}), "borders")
+    borders = borders.withColumns({BUCKET: time_bucket("pos", bucket_days), "cell": F.lit(1).cast("long")})
     borders, split = cut(borders, by, "pos", limit)
     cells = materialize(running(borders, by, ["pos"], {"cell": F.sum}, split).select(*by, "pos", (F.col("cell") - 1).alias("cell")), "cells")
 
@@ -149,31 +149,30 @@ def encounter_windows(encounters: DataFrame) -> DataFrame:
 
 
 def _part_windows(win: DataFrame, by, enc_id) -> DataFrame:
-    """One row per encounter and part of it: ``layer``, the window [low, high) and the ``rank`` of the encounter there.
+    """One row per encounter and part of it: the window [low, high) and the ``rank`` of the encounter there.
 
-    A layer holds windows of one part and class rank for which the nearest start or end is always the latest,
-    or always the earliest, so that the order does not depend on the event.
+    Part and class rank come first in the order, then the distance to ``anchor``, the start or end of the period. Within a
+    part the nearest anchor is always the latest, or always the earliest, so that the order (``w``) does not depend on
+    the event. Only an outpatient day has anchors on both sides: windows up to the start have ``ahead``.
     """
     amb = F.col("class") == "AMB"
     s, e, start, end = F.col("win_start"), F.col("win_end"), F.col("period_start"), F.col("period_end")
     day2, day4 = F.greatest(s, F.least(s + days(1), e)), F.greatest(s, F.least(s + days(3), e))
     last_day, over = e - days(1), F.greatest(s, F.when(amb, e).otherwise(e + tick()))
-    # part, side, window, the time that the distance is measured to, whether the latest such time is nearest, which classes
-    parts = [("day1", "", F.when(amb, start).otherwise(s), F.least(s + days(1), e), start, True, None), ("day1", "ahead", s, start, start, False, amb),
-             ("end_date", "", F.greatest(last_day, day2), e + tick(), end, False, ~amb), ("day2_3", "", day2, F.least(s + days(3), last_day), start, True, ~amb),
-             ("day4_to_end", "", day4, last_day, start, True, ~amb), ("end_to_3d_after", "", over, e + days(3), end, True, None),
-             ("3d_to_7d_after", "", F.greatest(s, e + days(3)), e + days(7), end, True, None), ("7d_to_14d_after", "", F.greatest(s, e + days(7)), e + days(14), end, True, None)]
+    # part, ahead, window, anchor, whether the latest anchor is nearest, which classes
+    parts = [("day1", False, F.when(amb, start).otherwise(s), F.least(s + days(1), e), start, True, None), ("day1", True, s, start, start, False, amb),
+             ("end_date", False, F.greatest(last_day, day2), e + tick(), end, False, ~amb), ("day2_3", False, day2, F.least(s + days(3), last_day), start, True, ~amb),
+             ("day4_to_end", False, day4, last_day, start, True, ~amb), ("end_to_3d_after", False, over, e + days(3), end, True, None),
+             ("3d_to_7d_after", False, F.greatest(s, e + days(3)), e + days(7), end, True, None), ("7d_to_14d_after", False, F.greatest(s, e + days(7)), e + days(14), end, True, None)]
     zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     rows = []
-    for part, side, low, high, anchor, latest, only in parts:
+    for part, ahead, low, high, anchor, latest, only in parts:
         signed = micros_between(zero, anchor) * (-1 if latest else 1)
-        rank = F.struct(signed.alias("w"), F.col(enc_id).alias("id"), F.col("class").alias("class"), anchor.alias("anchor"))
-        row = F.struct(F.concat_ws("|", F.lit(part), F.lit(side), F.col("__rank").cast("string")).alias("layer"), low.alias("low"), high.alias("high"), rank.alias("rank"))
+        rank = F.struct(F.lit(BUCKETS[part]).alias("o"), F.col("__rank").alias("rank"), signed.alias("w"), F.col(enc_id).alias("id"), F.col("class").alias("class"),
+                        F.lit(part).alias("b"), anchor.alias("anchor"))
+        row = F.struct(F.lit(ahead).alias("ahead"), low.alias("low"), high.alias("high"), rank.alias("rank"))
         rows.append(row if only is None else F.when(only, row))
-    return win.filter(e.isNotNull()).select(by, F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
-
-
-LAYERS = [(part, side, rank) for part in BUCKETS if part != "remaining" for side in ("", "ahead") for rank in (1, 2) if not side or (part, rank) == ("day1", 2)]
+    return win.filter(e.isNotNull()).select(by, F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull()))).filter("low < high")
 
 
 def bucket_to_interval(events: DataFrame, encounters: DataFrame, by="patient", t="time", event_id="con_id",
@@ -183,32 +182,32 @@ def bucket_to_interval(events: DataFrame, encounters: DataFrame, by="patient", t
     Order of preference: part of the encounter, inpatient before outpatient, distance to the start
     or end of the period, then the smaller encounter id. Events before any encounter are dropped.
 
-    Every part of an encounter is a window of time. The best window of each part and class rank is known per stretch
-    of time (``envelope``), encounters over for 14 days or more are found by the one that ended last: one lookup
-    along time answers all of them for an instant, and the events are attached to the instants last.
+    Every part of an encounter is a window of time. The best window is known per stretch of time (``envelope``), encounters
+    over for 14 days or more are found by the one that ended last: one lookup along time answers all for an instant,
+    and the events are attached to the instants last.
     """
     encounters = encounters.select(by, enc_id, "class", "period_start", "period_end")
-    win = materialize(encounter_windows(encounters).withColumn("__rank", F.when(F.col("class").isin(*INPATIENT_CLASSES), 1).otherwise(2)), "encounter-windows")
+    win = encounter_windows(encounters).withColumn("__rank", F.when(F.col("class").isin(*INPATIENT_CLASSES), 1).otherwise(2))
     ev = events.select(event_id, by, t).dropna()
 
-    parts = envelope(_part_windows(win, by, enc_id), [by, "layer"], "low", "high", "rank", bucket_days, limit)
-    names = {f"p{i}": "|".join([part, side, str(rank)]) for i, (part, side, rank) in enumerate(LAYERS)}
-    near = Source(parts, "pos", {n: F.when(F.col("layer") == layer, F.struct("pos", "best")) for n, layer in names.items()})
+    parts = materialize(_part_windows(win, by, enc_id), "parts")
+    names = {"p": False, "q": True}
+    near = [Source(envelope(parts.filter(F.col("ahead") == ahead), by, "low", "high", "rank", bucket_days, limit), "pos", {n: F.struct("pos", "best")}) for n, ahead in names.items()]
 
     # latest period end among encounters over for 14 days or more; smallest id of those that share it
     over = win.withColumn("__over", F.greatest(F.col("win_end") + days(14), F.col("win_start")))
     last = (over.groupBy(by, "__over", "__rank", "period_end")
             .agg(F.min(F.struct(F.col(enc_id).alias("id"), F.col("class").alias("class"))).alias("e")))
-    pick = F.struct(F.col("period_end").alias("anchor"), F.col("e")["id"].alias("id"), F.col("e")["class"].alias("class"))
+    pick = F.struct(F.col("period_end").alias("anchor"), F.col("__rank").alias("rank"), F.col("e")["id"].alias("id"), F.col("e")["class"].alias("class"),
+                    F.lit("remaining").alias("b"), F.lit(BUCKETS["remaining"]).alias("o"))
     old = Source(last, "__over", {f"r{r}": F.when(F.col("__rank") == r, pick) for r in (1, 2)})
 
-    def choice(c, part, rank):
-        return F.when(c.isNotNull(), F.struct(
-            F.lit(BUCKETS[part]).alias("o"), F.lit(rank).alias("rank"), F.abs(micros_between(c["anchor"], t)).alias("gap"),
-            c["id"].alias("id"), c["class"].alias("class"), F.lit(part).alias("b")))
+    def choice(c):
+        return F.when(c.isNotNull(), F.struct(c["o"].alias("o"), c["rank"].alias("rank"), F.abs(micros_between(c["anchor"], t)).alias("gap"),
+                                              c["id"].alias("id"), c["class"].alias("class"), c["b"].alias("b")))
 
-    found = seek(ev, [near, old], by, t, bucket_days=bucket_days, limit=limit)
-    choices = [choice(F.col(f"p{i}")["best"], part, rank) for i, (part, _, rank) in enumerate(LAYERS)] + [choice(F.col(f"r{r}"), "remaining", r) for r in (1, 2)]
+    found = seek(ev, [*near, old], by, t, bucket_days=bucket_days, limit=limit)
+    choices = [choice(F.col(n)["best"]) for n in names] + [choice(F.col(f"r{r}")) for r in (1, 2)]
     best = found.select(by, t, F.least(*choices).alias("c")).filter(F.col("c").isNotNull())
     # rows of one event id at several times: the best of them
     per_event = (attach(ev, best, [by, t]).filter(F.col("c").isNotNull()).groupBy(event_id)

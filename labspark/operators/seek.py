@@ -13,7 +13,8 @@ A key may hold a large share of all rows. Two things keep every task small:
   that are scanned independently (``segments``). What a segment inherits from those before it is
   computed from one summary row each and enters the scan as its first row.
 
-The merged rows are stored once: they are measured, summed up and scanned.
+A first look at keys and times tells whether any bucket is crowded; then the merged rows are stored, as they
+are measured, cut, summed up and scanned.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from labspark.functions.columns import as_col, as_list
-from labspark.operators.segments import BUCKET, BUCKET_DAYS, LIMIT, cut, running, time_bucket
+from labspark.operators.segments import BUCKET, BUCKET_DAYS, LIMIT, cut, running, time_bucket, whole
 from labspark.session import materialize
 
 POS, KIND = "__pos", "__kind"
@@ -69,10 +70,14 @@ def seek(probes: DataFrame, sources, by, at, ahead: bool = False,
         # an event that counts at its own instant has to come before the probe in scan order
         kind = _EVENT_FIRST if s.inclusive != ahead else _EVENT_LAST
         parts.append(keyed(s.events, s.when, kind, s.picks))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    rows = (rows.withColumn(BUCKET, time_bucket(POS, bucket_days))
-            .groupBy(*by, BUCKET, POS, KIND).agg(*[extreme(n).alias(n) for n in names]))
-    rows, split = cut(materialize(rows, "instants"), by, POS, limit)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn(BUCKET, time_bucket(POS, bucket_days))
+    # keys and times only: a bucket with few rows has few instants, and is scanned as it is
+    crowded = not rows.groupBy(*by, BUCKET).agg(F.count("*").alias("n")).filter(F.col("n") > limit).isEmpty()
+    rows = rows.groupBy(*by, BUCKET, POS, KIND).agg(*[extreme(n).alias(n) for n in names])
+    if crowded:
+        rows, split = cut(materialize(rows, "instants"), by, POS, limit)
+    else:
+        rows, split = whole(rows, POS), False
     found = running(rows, by, [POS, KIND], {n: extreme for n in names}, split, ahead)
     return found.filter(F.col(KIND) == _PROBE).select(*by, F.col(POS).alias(at if isinstance(at, str) else "at"), *names)
 

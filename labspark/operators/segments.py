@@ -37,19 +37,24 @@ def _renamed(df: DataFrame, keys) -> DataFrame:
     return df.withColumnsRenamed({k: f"__r{i}" for i, k in enumerate(keys)})
 
 
+def whole(rows: DataFrame, pos: str) -> DataFrame:
+    """``rows`` with SEGMENT where no bucket is cut."""
+    return rows.withColumn(SEGMENT, F.lit(None).cast(dict(rows.dtypes)[pos]))
+
+
 def cut(rows: DataFrame, by, pos: str, limit: int = LIMIT, parts: int = PARTS, broadcast_borders: int = BROADCAST_BORDERS) -> tuple[DataFrame, bool]:
     """``rows`` (stored, with BUCKET) and column SEGMENT: the lower border of a row's segment, NULL for the first of a
     bucket; and whether any bucket was cut. Rows at one position stay together."""
     by = as_list(by)
     keys = [*by, BUCKET, SEGMENT]
-    rows = rows.withColumn(SEGMENT, F.lit(None).cast(dict(rows.dtypes)[pos]))
-    split = False
+    rows, split = whole(rows, pos), False
     for _ in range(_ROUNDS):
-        crowded = materialize(rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(pos).alias("__low"), F.max(pos).alias("__high"))
-                              .filter((F.col("__n") > limit) & (F.col("__low") < F.col("__high"))), "crowded")
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(pos).alias("__low"), F.max(pos).alias("__high"))
+        crowded = sizes.filter((F.col("__n") > limit) & (F.col("__low") < F.col("__high")))
         many = crowded.count()
         if not many:
             break
+        crowded = materialize(crowded, "crowded")
         found = _renamed(crowded.select(*keys, "__n"), keys)
         inside = rows.join(F.broadcast(found) if many <= broadcast_borders else found, _same(rows, found, keys))
         # borders at even ranks; a sketch that is merged map-side, its error far below a segment
