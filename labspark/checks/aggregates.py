@@ -302,7 +302,24 @@ def followup_cooccurrence(t):
     return cooccur.followup_cooccurrence(followed(t), "result")
 
 
-@query("cooccurrence_all", None)
+_SOME = "lambda x: x IS NOT NULL"
+_ALL_SQL = f"""{_CO}, d AS (SELECT *, code || '1' AS result_detail, CAST(trunc(value * 2) AS INTEGER) AS age, if(value % 2 = 0, 'male', 'female') AS gender FROM flagged),
+ins AS (SELECT patient, time, arg_max(result, obs_id) AS r FROM d GROUP BY ALL),
+ahead AS (SELECT patient, time, lead(r) OVER w AS next_result, lead(time) OVER w AS nt FROM ins WINDOW w AS (PARTITION BY patient ORDER BY time)),
+e AS (SELECT d.*, next_result, nt IS NOT NULL AS there, (epoch_us(nt) - epoch_us(time)) / 3.6e9 AS h FROM d LEFT JOIN ahead USING (patient, time)),
+m AS (SELECT e.*, unnest(list_filter(['', if(age >= 18, 'adults', NULL), if(age < 18, 'children', NULL), if(gender = 'female', 'female', NULL), if(gender = 'male', 'male', NULL)], {_SOME})) AS sub FROM e),
+r AS (SELECT *, 'result' AS kind, result AS rc FROM m UNION ALL SELECT *, 'result_detail', result_detail FROM m WHERE sub = ''),
+med AS (SELECT kind, rc, sub, g1, g2, unnest(list_filter(['all', if(enc_class <> 'AMB', 'without_AMB', NULL), if(first = 1, 'only_first', NULL), if(first = 1 AND alone_med = 1, 'first_alone', NULL)], {_SOME})) AS cohort
+ FROM r WHERE time >= TIMESTAMP '1996-02-01' AND time < TIMESTAMP '2000-06-01'),
+nxt AS (SELECT kind, rc, sub, there, h, next_result, unnest(list_filter(['5days_all', '2hours_all', '48hours_all', if(first = 1, 'only_first_5d', NULL)], {_SOME})) AS cohort FROM r),
+shown AS (SELECT *, 'next_' || if(NOT there OR h > CASE cohort WHEN '2hours_all' THEN 2 WHEN '48hours_all' THEN 48 ELSE 120 END, 'no', if(next_result IN ('H', 'N', 'L'), next_result, NULL)) AS grp FROM nxt),
+found AS (SELECT 'medication ' AS source, kind, rc, sub, cohort, unnest(['g1', 'g2']) AS grp, unnest([sum(g1), sum(g2)])::BIGINT AS hit, count(*) AS n FROM med GROUP BY kind, rc, sub, cohort
+ UNION ALL SELECT 'next_measurement ', kind, rc, sub, cohort, grp, count(*), sum(count(*)) OVER (PARTITION BY kind, rc, sub, cohort)::BIGINT FROM shown GROUP BY kind, rc, sub, cohort, grp)
+SELECT grp, cohort, rc AS result_class, if(low, '<5', hit::VARCHAR) AS n_match, if(low, '<5', (n - hit)::VARCHAR) AS n_no_match, if(low, NULL, n::VARCHAR) AS n_total, source || kind || if(sub = '', '', ' ' || sub) AS source
+FROM (SELECT *, hit BETWEEN 1 AND 4 OR n - hit BETWEEN 1 AND 4 AS low FROM found)"""
+
+
+@query("cooccurrence_all", _ALL_SQL)
 def cooccurrence_all(t):
     rows = flagged(t).withColumns({"result_detail": F.concat("code", F.lit("1")), "age": (F.col("value") * 2).cast("int"),
                                    "gender": F.when(F.col("value") % 2 == 0, "male").otherwise("female")})

@@ -1,25 +1,36 @@
-"""Exact percentiles of groups of any size.
+"""Exact percentiles of groups of any size, by radix selection.
 
-Values are first counted per (group, value). The value axis is then cut into fine cells (about a
-tenth of a percent wide on a logarithmic scale); cell counts tell which cells hold the wanted
-ranks, and only values of those cells are ordered. No group is ever gathered in one task.
+Values are first counted per (group, value) and mapped to 64-bit integers of the same order. Counts by the
+leading bits tell which cells hold the wanted ranks; only values of those cells go on, to be counted by 20 more
+bits, until a cell holds at most 2,048 different values, which are ordered. However close the values of a group lie
+together, no group is gathered in one task, and what is ordered in one task is bounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from labspark.functions.columns import as_col, as_list, join_nullsafe
 
-_CELLS_PER_E = 1024
-_OFFSET = 800 * _CELLS_PER_E  # ln of the smallest positive double is about -745
+ROUNDS = (31, 11)  # bits that a round leaves aside: 2**20 cells per power of two at most, then 20 bits more
+_LEAST, _STEPS = -1074, 2.0**51  # exponent of the smallest positive double; integers per power of two
 
 
-def value_cell(v: Column) -> Column:
-    """Number of the cell that holds ``v``; grows with ``v``."""
-    size = F.floor(F.ln(F.abs(v)) * _CELLS_PER_E) + F.lit(_OFFSET)
-    last = 2 * _OFFSET  # beyond every finite value; NaN comes last, as everywhere in Spark's order
-    return F.when(F.isnan(v), last + 1).when(v == float("inf"), last).when(v == float("-inf"), -last).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
+def with_ordered_bits(df: DataFrame, v: str = "v", name: str = "__bits") -> DataFrame:
+    """Adds a 64-bit integer that grows with ``v``: exponent, then the leading 51 bits of the fraction. NaN comes last, as
+    everywhere in Spark's order; both zeros are equal."""
+    x = F.abs(v)
+    finite = (x > 0) & (x < float("inf"))
+    # the logarithm may round across a power of two: the quotient tells, and is exact
+    e = df.withColumn("__e", F.when(finite, F.least(F.lit(1023.0), F.greatest(F.lit(float(_LEAST)), F.floor(F.log2(x)).cast("double")))))
+    e = e.withColumn("__f", F.when(finite, x / F.pow(F.lit(2.0), "__e")))
+    up, down = F.col("__f") >= 2, F.col("__f") < 1
+    exponent = F.col("__e") + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)
+    fraction = F.when(up, F.col("__f") / 2).when(down, F.col("__f") * 2).otherwise(F.col("__f"))
+    size = (exponent - _LEAST).cast("bigint") * F.lit(int(_STEPS)) + F.floor((fraction - 1) * _STEPS) + 1
+    last = 2200 * int(_STEPS)
+    bits = F.when(F.isnan(v), last + 1).when(F.col(v) == float("inf"), last).when(F.col(v) == float("-inf"), -last).when(F.col(v) > 0, size).when(F.col(v) < 0, -size).otherwise(F.lit(0))
+    return e.withColumn(name, bits.cast("bigint")).drop("__e", "__f")
 
 
 def value_counts(df: DataFrame, keys, value) -> DataFrame:
@@ -34,26 +45,33 @@ def percentiles_of_counts(counts: DataFrame, keys, probs: dict[str, float]) -> D
     ``probs`` maps output names to fractions. Groups without any value get no row.
     """
     keys = as_list(keys)
-    counts = counts.withColumn("__cell", value_cell(F.col("v")))
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = (counts.groupBy(*keys, "__cell").agg(F.sum("n").alias("__m"))
-             .select(*keys, "__cell", "__m", F.sum("__m").over(upto).alias("__hi"),
-                     F.sum("__m").over(group).alias("__total")))
+    total = F.col("__total")
+    ranks = sorted({float(p) for p in probs.values()})
 
     def rank(p, up, total):
         pos = F.lit(float(p)) * (total - 1)
         return (F.ceil(pos) if up else F.floor(pos)).cast("bigint")
 
-    total = F.col("__total")
-    ranks = sorted({float(p) for p in probs.values()})
     wanted = F.array(*[rank(p, up, total) for p in ranks for up in (False, True)])
-    lo, hi = F.col("__hi") - F.col("__m"), F.col("__hi")
-    cells = (cells.filter(F.exists(wanted, lambda r: (r >= lo) & (r < hi)))
-             .select(*keys, "__cell", lo.alias("__base"), "__total"))
+    counts = with_ordered_bits(counts.select(*keys, "v", "n"))
+
+    def values_of(cells, shift):
+        """Values of the cells, with the number of smaller rows; a cell's number goes with all its leading bits."""
+        rows, on = counts.withColumn("__cell", F.shiftright("__bits", shift)), [*keys, "__cell"]
+        return join_nullsafe(rows, cells, on, "inner") if keys else rows.join(cells, on)
+
+    cells = None
+    for i, shift in enumerate(ROUNDS):
+        inside = counts if cells is None else values_of(cells, ROUNDS[i - 1])
+        outer = [] if cells is None else ["__cell", "__base", "__total"]
+        group = Window.partitionBy(*keys, *outer)
+        upto = group.orderBy("__next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cells = inside.groupBy(*keys, *outer, F.shiftright("__bits", shift).alias("__next")).agg(F.sum("n").alias("__m")).withColumn("__hi", F.sum("__m").over(upto))
+        cells = cells.withColumn("__hi", F.col("__hi") + F.col("__base")) if outer else cells.withColumn("__total", F.sum("__m").over(group))
+        lo, hi = F.col("__hi") - F.col("__m"), F.col("__hi")
+        cells = cells.filter(F.exists(wanted, lambda r: (r >= lo) & (r < hi))).select(*keys, F.col("__next").alias("__cell"), lo.alias("__base"), "__total")
+    inside = values_of(cells, ROUNDS[-1])
 
-    on = [*keys, "__cell"]
-    inside = join_nullsafe(counts, cells, on, "inner") if keys else counts.join(cells, on)
     run = (Window.partitionBy(*keys, "__cell").orderBy("v")
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = (inside.withColumn("__end", F.col("__base") + F.sum("n").over(run))

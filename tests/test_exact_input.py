@@ -1,6 +1,7 @@
 """Input that must not be cut or falsified: line breaks, offending rows, NaN and infinities, large offsets."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -47,3 +48,30 @@ def test_standard_errors_do_not_depend_on_an_offset(spark, offset):
     plain = {r.term: r.std_error for r in regress.ols(d.withColumn("y", F.col("y") - offset), model).collect()}
     moved = {r.term: r.std_error for r in regress.ols(d, model).collect()}
     assert all(math.isclose(plain[t], moved[t], rel_tol=1e-5) for t in plain)
+
+
+def test_ordered_bits(spark):
+    rng = random.Random(0)
+    values = [rng.choice([-1, 1]) * rng.random() * 2.0**rng.randrange(-1070, 1023) for _ in range(3000)]
+    values += [s * x for s in (-1, 1) for e in range(-1074, 1024) for x in (2.0**e, math.nextafter(2.0**e, 0), math.nextafter(2.0**e, math.inf))]
+    values += [0.0, -0.0, math.inf, -math.inf, math.nan, 1.7976931348623157e308, -1.7976931348623157e308, 5e-324]
+    got = quantiles.with_ordered_bits(spark.createDataFrame([(v,) for v in values], "v double")).collect()
+    rows = sorted(got, key=lambda r: (math.isnan(r["v"]), r["v"] if not math.isnan(r["v"]) else 0))
+    bits = [r["__bits"] for r in rows]
+    assert bits == sorted(bits)
+    assert all(a["__bits"] < b["__bits"] for a, b in zip(rows, rows[1:]) if abs(a["v"] - b["v"]) > 4e-15 * abs(b["v"]))
+
+
+def test_percentiles_of_values_close_together(spark):
+    """100,000 values within [100000, 100001), and a group of their own at one value: narrowed round by round, never one sort."""
+    n = 100_000
+    d = spark.range(n).select(F.lit("a").alias("k"), (100_000 + ((F.col("id") * 7919) % n) / n).alias("v")).unionByName(spark.range(50).select(F.lit(None).cast("string").alias("k"), F.lit(3.5).alias("v")))
+    got = {r["k"]: r for r in quantiles.percentiles(d, "k", "v", {"q1": 0.01, "q25": 0.25, "q5": 0.5, "q1_": 1.0}).collect()}
+    values = sorted(100_000 + i / n for i in range(n))
+    for name, p in (("q1", 0.01), ("q25", 0.25), ("q5", 0.5), ("q1_", 1.0)):
+        pos = p * (n - 1)
+        low = values[math.floor(pos)]
+        assert math.isclose(got["a"][name], low + (values[math.ceil(pos)] - low) * (pos - math.floor(pos)), rel_tol=1e-15)
+        assert got[None][name] == 3.5
+    bits = quantiles.with_ordered_bits(d.filter("k = 'a'")).groupBy(F.shiftright("__bits", quantiles.ROUNDS[0])).count().agg(F.max("count")).first()[0]
+    assert bits <= 7_000  # of 100,000 values, after the first round
