@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from labspark.functions.predicates import matches_any
 from labspark.functions.values import ref_kind
@@ -18,12 +19,44 @@ PAIR_RIGHT = {"quality_obs_id": "obs_id", "quality_code": "code", "quality_value
               "quality_ref_high": "ref_high", "quality_ref_low": "ref_low", "quality_interpretation": "interpretation"}
 
 
-def _pairs(df, quality, keys, extra):
+@dataclass(frozen=True)
+class Match:
+    """The two sides of a match without its pairs: distinct rows of each side that have a partner under the same key.
+
+    A key that a third of all rows share has too many pairs to build. Everything that is published about pairs can be
+    counted from the sides: distinct results of one side directly, pairs as products of counts per key.
+    """
+
+    main: DataFrame
+    quality: DataFrame
+    keys: tuple
+
+
+def _sides(df, quality, keys, extra):
     q = quality.select(*keys, *[F.col(c).alias(n) for n, c in PAIR_RIGHT.items() if c in quality.columns])
-    m = df.select(*dict.fromkeys([*keys, *extra]), *[F.col(c).alias(n) for n, c in PAIR_LEFT.items()])
+    return df.select(*dict.fromkeys([*keys, *extra]), *[F.col(c).alias(n) for n, c in PAIR_LEFT.items()]), q
+
+
+def _pairs(df, quality, keys, extra):
+    m, q = _sides(df, quality, keys, extra)
     return m.join(q, keys).distinct()
 
 
+def _match(df, quality, keys, extra) -> Match:
+    m, q = (side.dropna(subset=keys).distinct() for side in _sides(df, quality, keys, extra))
+    return Match(m.join(q.select(*keys).distinct(), keys, "left_semi"), q.join(m.select(*keys).distinct(), keys, "left_semi"), tuple(keys))
+
+
+def sides_by_time(df: DataFrame, quality: DataFrame) -> Match:
+    """The sides of ``match_time``."""
+    return _match(df, quality, ["patient", "time"], [])
+
+
+def sides_by_reference(df: DataFrame, quality: DataFrame, ref="basedon") -> Match:
+    """The sides of ``match_reference``."""
+    return _match(df, quality, [ref], ["patient", "time"])
+
+
 def match_time(df: DataFrame, quality: DataFrame) -> DataFrame:
     """Quality results taken at the same patient and time: the same sample is assumed."""
     return _pairs(df, quality, ["patient", "time"], [])
@@ -38,37 +71,65 @@ def quality_codes(quality: DataFrame) -> DataFrame:
     return quality.groupBy("code").agg(n_rows())
 
 
-def incomplete_groups(pairs: DataFrame) -> DataFrame:
+def incomplete_groups(match: Match) -> DataFrame:
     """Shared instants with several measurements where not each of them can have every quality result."""
-    g = pairs.groupBy("patient", "time").agg(
-        F.count_distinct("main_obs_id").alias("m"), F.count_distinct("quality_code").alias("c"),
-        F.count_distinct("quality_obs_id").alias("q"))
-    return g.agg(F.count_if((F.col("m") >= 2) & (F.col("q") < F.col("m") * F.col("c"))).alias("n"))
-
-
-def match_summary(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    keys, at = list(match.keys), ["patient", "time"]
+    mains = match.main.groupBy(*at).agg(F.count_distinct("main_obs_id").alias("m"), F.count_distinct(F.struct(*keys)).alias("k")).filter("m >= 2")
+    results = [F.count_distinct("quality_code").alias("c"), F.count_distinct("quality_obs_id").alias("q")]
+    of_key = match.quality.groupBy(*keys).agg(*results)
+    where = match.main.select(*dict.fromkeys([*at, *keys])).distinct()
+    if set(keys) == set(at):
+        found = mains.join(of_key, at)
+    else:  # an instant with one key has that key's results; only those with several keys need the union of them
+        known = mains.join(where, at)
+        one = known.filter("k = 1").join(of_key, keys).select(*at, "m", "c", "q")
+        several = known.filter("k > 1").join(match.quality.select(*keys, "quality_code", "quality_obs_id").distinct(), keys)
+        found = one.unionByName(several.groupBy(*at, "m").agg(*results).select(*at, "m", "c", "q"))
+    return found.agg(F.count_if(F.col("q") < F.col("m") * F.col("c")).alias("n"))
+
+
+def _ids(side: DataFrame, keys, ident: str) -> DataFrame:
+    """Distinct (key, id), and whether the id comes with several keys."""
+    ids = side.select(*keys, ident).filter(F.col(ident).isNotNull()).distinct()
+    return ids.withColumn("multi", F.count("*").over(Window.partitionBy(ident)) > 1)
+
+
+def count_pairs(match: Match) -> DataFrame:
+    """Distinct (main, quality) ids, as one row ``n``: products of the counts per key. Only pairs of two ids that both come
+    with several keys can occur twice; these are listed."""
+    keys = list(match.keys)
+    m, q = _ids(match.main, keys, "main_obs_id"), _ids(match.quality, keys, "quality_obs_id")
+    per = [side.groupBy(*keys).agg(n_rows(name), F.count_if("multi").alias(f"{name}2")) for side, name in ((m, "a"), (q, "b"))]
+    once = per[0].join(per[1], keys).agg(F.coalesce(F.sum(F.col("a") * F.col("b") - F.col("a2") * F.col("b2")), F.lit(0)).alias("n"))
+    twice = m.filter("multi").join(q.filter("multi"), keys).select("main_obs_id", "quality_obs_id").distinct().agg(n_rows())
+    return once.unionByName(twice).agg(F.sum("n").alias("n"))
+
+
+def match_summary(df: DataFrame, match: Match) -> DataFrame:
     """Totals of a quality match as (metric, n)."""
-    q = F.col("quality_obs_id")
-    wide = pairs.agg(
-        F.count_distinct("main_obs_id").alias("n_matched"),
-        F.count_distinct(F.struct("main_obs_id", "quality_obs_id")).alias("n_pairs"),
+    keys, q = list(match.keys), F.col("quality_obs_id")
+    mains = match.main.agg(F.count_distinct("main_obs_id").alias("n"))
+    wide = match.quality.agg(
         *[F.count_distinct(F.when(F.col(c).isNotNull(), q)).alias(n) for n, c in (
             ("n_with_value", "quality_value"), ("n_with_code", "quality_value_code"),
-            ("n_with_interpretation", "quality_interpretation")) if c in pairs.columns])
-    over = (pairs.groupBy("main_obs_id", "quality_code").agg(F.count_distinct("quality_obs_id").alias("c"))
-            .filter("c >= 2").agg(F.count_distinct("main_obs_id").alias("n")))
-    return reduce(DataFrame.unionByName, [
-        df.agg(n_rows()).select(F.lit("n_total").alias("metric"), "n"),
-        wide.unpivot([], wide.columns, "metric", "n"),
-        over.select(F.lit("n_overmatched").alias("metric"), "n")])
+            ("n_with_interpretation", "quality_interpretation")) if c in match.quality.columns])
+    # a measurement has two results of a code if its keys have: smallest and largest id of each key tell
+    ends = match.quality.groupBy(*keys, "quality_code").agg(F.min(q).alias("low"), F.max(q).alias("high"))
+    over = (match.main.select(*keys, "main_obs_id").distinct().join(ends, keys).groupBy("main_obs_id", "quality_code")
+            .agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").agg(F.count_distinct("main_obs_id").alias("n")))
+    named = [("n_total", df.agg(n_rows())), ("n_matched", mains), ("n_pairs", count_pairs(match)), ("n_overmatched", over)]
+    return reduce(DataFrame.unionByName, [*[d.select(F.lit(metric).alias("metric"), "n") for metric, d in named], wide.unpivot([], wide.columns, "metric", "n")])
 
 
-def pairs_per_code(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("main_code", "quality_code").agg(n_rows("n_pairs"))
+def pairs_per_code(match: Match) -> DataFrame:
+    keys = list(match.keys)
+    m = match.main.groupBy(*keys, "main_code").agg(n_rows("a"))
+    q = match.quality.groupBy(*keys, "quality_code").agg(n_rows("b"))
+    return m.join(q, keys).groupBy("main_code", "quality_code").agg(F.sum(F.col("a") * F.col("b")).alias("n_pairs"))
 
 
 def numeric_results(pairs: DataFrame) -> DataFrame:
-    """Numeric quality results per (code, unit), each result counted once."""
+    """Numeric quality results per (code, unit), each result counted once; ``pairs`` may be the quality side alone."""
     keys = ["quality_code", "quality_unit"]
     once = (pairs.filter(F.col("quality_value").isNotNull())
             .select("quality_obs_id", *keys, "quality_value").distinct())

@@ -20,21 +20,22 @@ def notes(lab: DataFrame, spec: Spec) -> DataFrame:
                       & F.col("note").isNotNull()).select("obs_id", "code", "note").distinct()
 
 
-def _match_tables(base: DataFrame, pairs: DataFrame, name: str) -> dict[str, DataFrame]:
-    return {f"{name}_summary": q.match_summary(base, pairs), f"{name}_codes": q.pairs_per_code(pairs),
-            f"{name}_numeric": q.numeric_results(pairs), f"{name}_ranges": q.reference_availability(pairs),
-            f"{name}_coded": q.coded_quality(pairs, "quality_value_code"),
-            f"{name}_systems": q.distinct_systems(pairs, "quality_value_system", "quality_value_code"),
-            f"{name}_interpreted": q.coded_quality(pairs, "quality_interpretation"), f"{name}_incomplete": q.incomplete_groups(pairs)}
+def _match_tables(base: DataFrame, match: q.Match, name: str) -> dict[str, DataFrame]:
+    matched = match.quality
+    return {f"{name}_summary": q.match_summary(base, match), f"{name}_codes": q.pairs_per_code(match),
+            f"{name}_numeric": q.numeric_results(matched), f"{name}_ranges": q.reference_availability(matched),
+            f"{name}_coded": q.coded_quality(matched, "quality_value_code"),
+            f"{name}_systems": q.distinct_systems(matched, "quality_value_system", "quality_value_code"),
+            f"{name}_interpreted": q.coded_quality(matched, "quality_interpretation"), f"{name}_incomplete": q.incomplete_groups(match)}
 
 
 def sample_quality(base: DataFrame, lab: DataFrame, specimens: DataFrame | None, spec: Spec) -> dict[str, DataFrame]:
     """Every table of the sample-quality part. Tables of kinds without data come out empty."""
     quality = quality_measurements(lab, spec)
     out = {"quality_codes": q.quality_codes(quality)}
-    out.update(_match_tables(base, q.match_time(base, quality), "by_time"))
+    out.update(_match_tables(base, q.sides_by_time(base, quality), "by_time"))
     out["basedon"] = q.basedon_report(base)
-    out.update(_match_tables(base, q.match_reference(base, quality), "by_reference"))
+    out.update(_match_tables(base, q.sides_by_reference(base, quality), "by_reference"))
     out["coded_results"] = q.coded_results(base)
     if specimens is not None:
         out["specimens"] = q.specimen_report(base, specimens.select("spec_id", "type", "condition", "condition_system").distinct())
