@@ -6,7 +6,7 @@ partial results that can be merged; only cells, of which there are few, are copi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labspark.functions.columns import as_list, join_nullsafe
 from labspark.functions.values import range_label
@@ -77,7 +77,7 @@ def group_statistics(df: DataFrame, word: dict[str, Column], labels: list[Column
                      patient="patient", probs=None, digits: int = 3) -> DataFrame:
     """``describe.value_statistics`` per group and key. ``word``: the groups' mask columns, ``labels``: a struct per group.
 
-    The rows are reduced three times, to cells, to values and to patients per mask. A patient's groups are the union of
+    The rows are reduced to means, to cells, to values and to patients per mask. A patient's groups are the union of
     the rows' masks, so that distinct patients are counted by mask.
     """
     keys, probs = as_list(keys), {**(probs or PERCENTILES), "median_value": 0.5}
@@ -89,12 +89,14 @@ def group_statistics(df: DataFrame, word: dict[str, Column], labels: list[Column
 
     texts = {"reference_ranges": "__range", **{UNITS[u]: u for u in units}}
     cells = rows.groupBy(*keys, *names).agg(
-        F.count(F.lit(1)).alias("n"), F.count(v).alias("__k"), F.sum(v).alias("__s"), F.avg(v).alias("__avg"), (F.var_pop(v) * F.count(v)).alias("__q"),
+        F.count(F.lit(1)).alias("n"), F.count(v).alias("__k"), F.avg(v).alias("__avg"), (F.var_pop(v) * F.count(v)).alias("__q"),
         F.min(v).alias("min_value"), F.max(v).alias("max_value"), *side_counts(F.lit(1).cast("long"), F.col("__side")), *[F.collect_set(c).alias(t) for t, c in texts.items()])
     each = unmask(cells, labels)
     by = [c for c in each.columns if c not in cells.columns] + keys
-    group = Window.partitionBy(*by)  # a group's cells: one per mask
-    each = each.withColumn("__mean", F.sum("__s").over(group) / F.sum("__k").over(group))
+    # means are summed over rows, one sum per group side by side: means of cells would round differently
+    wide = rows.groupBy(*keys).agg(*[F.avg(F.when(has_bit(i), v)).alias(f"__a{i}") for i in labels])
+    means = wide.select(*keys, F.inline(F.array(*[F.struct(label.alias("g"), F.col(f"__a{i}").alias("__mean")) for i, label in labels.items()]))).select(*keys, "g.*", "__mean")
+    each = join_nullsafe(each, means, by)
     off = F.col("__avg") - F.col("__mean")  # squares around the cell's mean, then around the group's: no difference of large sums
     sums = ("n", "n_na", "n_below_ref", "n_within_ref", "n_above_ref", "n_no_ref")
     stats = each.groupBy(*by).agg(
