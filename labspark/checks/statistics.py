@@ -167,17 +167,16 @@ _FOLLOWUP = [_followup_sql(_IN_TIME, "next_hours", "next_k_timing_categorical_al
 @query("followup_regressions", WIDE + ", " + ", ".join(c for c, _ in _FOLLOWUP) + "\n" + " UNION ALL ".join(q for _, q in _FOLLOWUP))
 def followup_regressions(t):
     table, _ = regression_table(t)
-    return _checked(regress.regressions(table, covariates.followup_models(table, STUDY), STUDY.k))
+    return _checked(covariates.fitted(table, covariates.followup_models(STUDY), STUDY))
 
 
 @query("covariate_regressions", None)
 def covariate_regressions(t):
     table, windows = regression_table(t)
-    return regress.regressions(table, covariates.covariate_models(table, windows, STUDY), STUDY.k)
+    return covariates.fitted(table, covariates.covariate_models(windows, STUDY), STUDY)
 
 
 @query("after_outcome_regressions", None)
 def after_outcome_regressions(t):
     table, windows = regression_table(t)
-    models = covariates.outcome_models(table, windows, STUDY)
-    return regress.regressions(table, models, STUDY.k)
+    return covariates.fitted(table, covariates.outcome_models(windows, STUDY), STUDY)

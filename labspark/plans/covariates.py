@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import replace
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labspark.functions.columns import flag
 from labspark.functions.dates import hours, hours_between
 from labspark.functions.privacy import k_cells, k_mask
+from labspark.functions.values import cluster_id
 from labspark.operators import cooccur, describe, intervals, regress, windows
 from labspark.operators.seek import Source, attach, seek
 from labspark.session import materialize
@@ -134,75 +139,81 @@ RESULT_LEVELS = {"gender": ("male", "female"), "result": ("N", "L", "H")}
 GENDER = {"gender": ("male", "female")}
 
 
-def known(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("gender").isin("male", "female") & F.col("age").isNotNull())
+def known() -> Column:
+    return F.col("gender").isin("male", "female") & F.col("age").isNotNull()
 
 
-def _pair(df_first, df_all, terms, source) -> list:
-    """The model on first measurements and its check on all measurements, clustered by encounter."""
-    from labspark.functions.values import cluster_id
-    return [(regress.Model(source, "value_norm", tuple(terms), GENDER, "age"), df_first),
-            (regress.Model(f"{source}_all", "value_norm", tuple(terms), GENDER, "age", cluster_id("enc_id", "obs_id")), df_all)]
+def _rows(window, *conditions) -> Column:
+    """Rows inside a window that meet all conditions."""
+    inside = [] if window is None else [F.col("time") >= F.lit(window[0]), F.col("time") < F.lit(window[1])]
+    return reduce(and_, [known(), *inside, *conditions])
 
 
-def covariate_models(df: DataFrame, windows_: dict, spec: Spec) -> list:
-    """Model specifications with their rows: medication and conditions jointly, labs and procedures one by one."""
-    models, base = [], known(df)
-    first = base.filter(F.col("first") == 1)
-    if windows_.get("medication"):
-        a, b = (cooccur.in_window(d, windows_["medication"]) for d in (first, base))
-        terms = regress.valid_covariates(a, spec.medication_groups, spec.k)
-        models += _pair(a, b, terms, "medication") if terms else []
-    if windows_.get("lab"):
-        lab_first = base.filter((F.col("first") == 1) | (F.col("enc_class") == "AMB"))
-        a, b = (cooccur.in_window(d, windows_["lab"]) for d in (lab_first, base))
-        cols = {f"{lab}_value_norm": lab for lab in spec.lab_windows}
-        for c in regress.valid_covariates(a, cols, spec.k, continuous=True):
-            models += _pair(a.filter(F.col(c).isNotNull()), b.filter(F.col(c).isNotNull()), [c], f"lab_{cols[c]}")
-    if windows_.get("procedures"):
-        a, b = (cooccur.in_window(d, windows_["procedures"]) for d in (first, base))
-        for c in regress.valid_covariates(a, ["dialyse_during", "dialyse_before", "dialyse_unclear"], spec.k):
-            models += _pair(a, b, [c], f"procedures_{c}")
-    if windows_.get("conditions"):
-        a, b = (cooccur.in_window(d, windows_["conditions"]) for d in (first, base))
-        terms = regress.valid_covariates(a, spec.condition_groups, spec.k)
-        models += _pair(a, b, terms, "conditions") if terms else []
-    return models
+def _pair(first, every, source, terms, kind="flag") -> list:
+    """The model on first measurements and its check on all measurements, clustered by encounter. Terms are judged on the former."""
+    rules = tuple(regress.Rule(t, first, kind) for t in terms)
+    model = regress.Model(source, "value_norm", tuple(terms), GENDER, "age")
+    clustered = replace(model, source=f"{source}_all", cluster=cluster_id("enc_id", "obs_id"))
+    return [regress.Draft(model, first, rules), regress.Draft(clustered, every, rules)]
+
 
+def covariate_models(windows_: dict, spec: Spec) -> list:
+    """Medication and conditions jointly, labs and procedures one by one."""
+    drafts, first = [], F.col("first") == 1
+    for kind, groups in (("medication", spec.medication_groups), ("lab", ()), ("procedures", ()), ("conditions", spec.condition_groups)):
+        if not windows_.get(kind):
+            continue
+        every = _rows(windows_[kind])
+        if groups:
+            drafts += _pair(_rows(windows_[kind], first), every, kind, list(groups))
+        elif kind == "lab":
+            for lab in spec.lab_windows:
+                c = f"{lab}_value_norm"
+                has = F.col(c).isNotNull()
+                drafts += _pair(_rows(windows_[kind], first | (F.col("enc_class") == "AMB"), has), every & has, f"lab_{lab}", [c], "number")
+        elif kind == "procedures":
+            for c in ("dialyse_during", "dialyse_before", "dialyse_unclear"):
+                drafts += _pair(_rows(windows_[kind], first), every, f"procedures_{c}", [c])
+    return drafts
 
-def _result_model(df, outcome, source, k) -> list:
+
+def _result_model(rows, outcome, source) -> regress.Draft:
     """outcome ~ result, when gender, result and (for flags) the outcome have enough rows per level."""
     factors = ["gender", "result"] + ([outcome] if outcome != "next_hours" else [])
-    if not all(regress.valid_levels(df, c, k) for c in factors):
-        return []
-    return [(regress.Model(source, outcome, ("result",), RESULT_LEVELS, "age"), df)]
+    return regress.Draft(regress.Model(source, outcome, ("result",), RESULT_LEVELS, "age"), rows, required=tuple(regress.Rule(c, rows, "factor") for c in factors))
 
 
-def outcome_models(df: DataFrame, windows_: dict, spec: Spec) -> list:
+def outcome_models(windows_: dict, spec: Spec) -> list:
     """Treatment or procedure after the measurement, by result."""
-    models, first = [], known(df).filter(F.col("first") == 1)
+    drafts = []
     for kind, outcomes in (("medication", {f"{g}_after": f"medication_after_{g}" for g in spec.treatment_groups}),
                            ("procedures", {"dialyse_after": "dialysis_after"})):
         if windows_.get(kind):
-            rows = cooccur.in_window(first, windows_[kind])
-            for c, source in outcomes.items():
-                models += _result_model(rows, c, f"{source}_categorical", spec.k)
-    return models
+            rows = _rows(windows_[kind], F.col("first") == 1)
+            drafts += [_result_model(rows, c, f"{source}_categorical") for c, source in outcomes.items()]
+    return drafts
+
+
+def _in_time(spec: Spec) -> Column:
+    return F.coalesce((F.col("next_flag") == 1) & (F.col("next_hours") <= spec.followup_hours), F.lit(False))
 
 
-def followup_models(df: DataFrame, spec: Spec) -> list:
+def followup_models(spec: Spec) -> list:
     """Time to the next measurement and whether there is one in time, by result."""
-    models = []
-    in_time = F.coalesce((F.col("next_flag") == 1) & (F.col("next_hours") <= spec.followup_hours), F.lit(False))
-    for suffix, rows in (("all", known(df)), ("only_first", known(df).filter(F.col("first") == 1))):
-        models += _result_model(rows.filter(in_time), "next_hours", f"next_k_timing_categorical_{suffix}", spec.k)
-        models += _result_model(rows.withColumn("next_occurred", flag(in_time)), "next_occurred", f"next_k_occurred_{suffix}", spec.k)
-    return models
+    drafts = []
+    for suffix, rows in (("all", known()), ("only_first", known() & (F.col("first") == 1))):
+        drafts += [_result_model(rows & _in_time(spec), "next_hours", f"next_k_timing_categorical_{suffix}"),
+                   _result_model(rows, "next_occurred", f"next_k_occurred_{suffix}")]
+    return drafts
+
+
+def fitted(df: DataFrame, drafts: list, spec: Spec) -> DataFrame:
+    return regress.regressions(df.withColumn("next_occurred", flag(_in_time(spec))), drafts, spec.k)
 
 
 def regressions(df: DataFrame, windows_: dict, spec: Spec) -> DataFrame:
-    models = covariate_models(df, windows_, spec) + outcome_models(df, windows_, spec) + followup_models(df, spec)
-    return regress.regressions(df, models, spec.k)
+    """All regressions of a study; ``df`` (the covariate table, stored) is read three times, whatever their number."""
+    return fitted(df, covariate_models(windows_, spec) + outcome_models(windows_, spec) + followup_models(spec), spec)
 
 
 def cooccurrence_tables(df: DataFrame, windows_: dict, spec: Spec) -> DataFrame:
