@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from labspark.functions.dates import NTZ
 from labspark.functions.predicates import in_range, status_ok
 from labspark.functions.values import label_codes
+from labspark.sources.records import read_records
 
 
 class ContractError(ValueError):
@@ -154,9 +155,9 @@ UNIT_COLUMNS = ("label", "source_unit", "target_unit", "factor")
 def read_strings(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """CSV with a header, every column as text.
 
-    Quoted cells may hold line breaks. A file is then read by one task, so large extracts should come as
-    many part files or be converted once (``convert_all``). Without ``line_breaks`` files are split, which
-    is right only where no cell has one.
+    Quoted cells may hold line breaks. A file is then read by one task, so large extracts should be converted
+    once (``convert_all`` splits files, see ``records``). Without ``line_breaks`` files are split here too,
+    which is right only where no cell has one.
     """
     return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
             .option("multiLine", line_breaks).csv(path))
@@ -176,8 +177,8 @@ def typed(df: DataFrame, fields) -> DataFrame:
     return df.select(*[column(f) for f in fields])
 
 
-def read_source(spark: SparkSession, path: str, fields) -> DataFrame:
-    raw = read_strings(spark, path)
+def read_source(spark: SparkSession, path: str, fields, reader=read_strings) -> DataFrame:
+    raw = reader(spark, path)
     require_columns({path: raw}, {path: fields})
     return typed(raw, fields)
 
@@ -222,12 +223,12 @@ def _if_there(read) -> DataFrame | None:
         return None
 
 
-def read_all(spark: SparkSession, folder: str, files: dict | None = None) -> dict[str, DataFrame | None]:
-    """Every extract of a folder; absent optional files give None."""
+def read_all(spark: SparkSession, folder: str, files: dict | None = None, reader=read_strings) -> dict[str, DataFrame | None]:
+    """Every extract of a folder; absent optional files give None. ``reader`` is ``read_strings`` or ``records.read_records``."""
     out = {}
     for name, (file, fields) in (files or FILES).items():
         path = f"{folder.rstrip('/')}/{file}"
-        out[name] = _if_there(lambda p=path, f=fields: read_source(spark, p, f))
+        out[name] = _if_there(lambda p=path, f=fields: read_source(spark, p, f, reader))
     lack = [n for n in MANDATORY if out.get(n) is None]
     if lack:
         raise ContractError(f"mandatory files missing: {', '.join(lack)}")
@@ -235,8 +236,8 @@ def read_all(spark: SparkSession, folder: str, files: dict | None = None) -> dic
 
 
 def convert_all(spark: SparkSession, folder: str, target: str, files: dict | None = None) -> None:
-    """Stores every extract of a folder as typed Parquet below ``target``, to be read by ``read_converted``."""
-    for name, df in read_all(spark, folder, files).items():
+    """Stores every extract of a folder as typed Parquet below ``target``, to be read by ``read_converted``. Each file is read by many tasks."""
+    for name, df in read_all(spark, folder, files, read_records).items():
         if df is not None:
             df.write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}")
 
