@@ -103,6 +103,11 @@ SELECT CAST(adm_id AS STRING) AS adm_id, concat('Patient/', CAST(patient AS STRI
 SELECT CAST(pro_id AS STRING) AS pro_id, concat('Patient/', CAST(patient AS STRING)) AS patient, CASE WHEN pro_id % 43 = 0 THEN 'not-done' END AS status,
  CASE pro_id % 4 WHEN 0 THEN '8-854.2' WHEN 1 THEN '5-123' WHEN 2 THEN '8-857.1' END AS ops, CASE WHEN pro_id % 3 = 0 THEN '302497006' END AS snomed,
  period_start, period_end, performed, concat('Encounter/', CAST(pro_id AS STRING)) AS encounter FROM fx_proc""",
+    # periods only: the point in time is NULL of its type
+    "st_proc_icu": """
+SELECT concat('icu', CAST(pro_id AS STRING)) AS pro_id, concat('Patient/', CAST(patient AS STRING)) AS patient, CASE WHEN pro_id % 13 = 0 THEN 'on-hold' WHEN pro_id % 5 = 0 THEN 'completed' END AS status,
+ CASE pro_id % 5 WHEN 0 THEN '8-855.1' WHEN 1 THEN '8-98f' WHEN 2 THEN '8-853' END AS ops, CASE WHEN pro_id % 4 = 1 THEN '302497006' END AS snomed,
+ period_start, period_end, nullif(period_start, period_start) AS performed, concat('Encounter/', CAST(pro_id AS STRING)) AS encounter FROM fx_proc""",
     "st_device": """
 SELECT CAST(pro_id AS STRING) AS pro_id, performed, concat('Patient/', CAST(patient AS STRING)) AS patient, CASE WHEN pro_id % 47 = 0 THEN 'preliminary' END AS status,
  period_start, period_end, concat('Encounter/', CAST(pro_id AS STRING)) AS encounter FROM fx_proc WHERE pro_id % 5 = 0""",
@@ -117,7 +122,7 @@ BASES = {"fx_obs": ("events",), "fx_dup_obs": ("fx_obs",), "fx_patients": ("cust
          "fx_enc": ("orders", "lineitem"), "fx_med": ("lineitem", "orders", "part"), "fx_medication": ("part",),
          "fx_cond": ("orders",), "fx_proc": ("lineitem", "orders"),
          "st_lab": ("lineitem", "orders", "part"), "st_patients": ("fx_patients",), "st_enc": ("fx_enc",), "st_med_coded": ("fx_med",),
-         "st_med_one": ("fx_med",), "st_med_two": ("fx_med",), "st_medication": ("fx_medication",), "st_proc": ("fx_proc",),
+         "st_med_one": ("fx_med",), "st_med_two": ("fx_med",), "st_medication": ("fx_medication",), "st_proc": ("fx_proc",), "st_proc_icu": ("fx_proc",),
          "st_device": ("fx_proc",), "st_cond": ("fx_cond",), "st_specimens": ("supplier",)}
 
 UNIT_ROWS = [("click", "u1", "u1", 1.0), ("click", "u2", "u1", 18.02), ("view", "u1", "u1", 1.0), ("view", "u2", "invalid", None)]
