@@ -1,7 +1,8 @@
 """Byte-level BPE: texts to token ids and back, with character offsets.
 
 The tokenizers library runs over Arrow batches, one tokenizer per Python worker, built from a rank
-file. Byte-level BPE works on 256 stand-in characters, one per byte; the byte table maps them back,
+file. It merges every distinct word once: a worker remembers the ids of the words it has met, up to ``REMEMBERED``, and only the new words
+of a batch go through the library. Byte-level BPE works on 256 stand-in characters, one per byte; the byte table maps them back,
 so that ids decode to exact bytes even where a token ends inside a character.
 
 Defined cases. Null text: treated as empty, no tokens. Null id, rows sharing an id, equal rows: one
@@ -13,8 +14,10 @@ from __future__ import annotations
 
 import base64
 import codecs
+import collections
 import functools
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -22,6 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+REMEMBERED = 200_000  # words whose ids a worker keeps: some 50 MB; beyond that it starts anew
+LONGEST = 64  # characters of such a word
+
 
 def byte_characters() -> list[str]:
     """Stand-in character of every byte: printable Latin-1 bytes stand for themselves, the others get the
@@ -51,21 +57,59 @@ def tables(ranks: bytes) -> tuple[list[bytes], dict[bytes, int]]:
 
 
 @functools.lru_cache(maxsize=4)
-def tokenizer(ranks: bytes, pattern: str):
-    """A tokenizer that merges as the ranks say: every split of a token into two tokens is a merge with the
-    token's own priority."""
+def tokenizer(ranks: bytes):
+    """A tokenizer of single words that merges as the ranks say: every split of a token into two tokens is a merge with
+    the token's own priority."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
     stand_in = byte_characters()
     by_id, ids = tables(ranks)
     name = {token: "".join(stand_in[b] for b in token) for token in ids}
     merges = [(name[t[:i]], name[t[i:]]) for t in by_id for i in range(1, len(t)) if t[:i] in ids and t[i:] in ids]
-    made = Tokenizer(models.BPE(vocab={name[t]: i for t, i in ids.items()}, merges=merges, ignore_merges=False))
-    made.pre_tokenizer = pre_tokenizers.Sequence([
-        pre_tokenizers.Split(Regex(pattern), behavior="isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    made = Tokenizer(models.BPE(vocab={name[t]: i for t, i in ids.items()}, merges=merges, ignore_merges=False, cache_capacity=0))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     return made
 
 
+@functools.lru_cache(maxsize=4)
+def splitter(pattern: str):
+    """Words of a text: what the pattern matches, and what lies between the matches."""
+    import regex
+    found = regex.compile(pattern)
+
+    def split(text: str) -> list[str]:
+        words = [m.group() for m in found.finditer(text)] if found.groups else found.findall(text)
+        if sum(map(len, words)) == len(text):
+            return words
+        cuts = [0, *(x for m in found.finditer(text) for x in m.span()), len(text)]
+        return [text[i:j] for i, j in itertools.pairwise(cuts) if i < j]
+
+    return split
+
+
+@functools.lru_cache(maxsize=4)
+def remembered(ranks: bytes) -> dict[str, list[int]]:
+    """The ids of words met in this process."""
+    return {}
+
+
+@functools.lru_cache(maxsize=4)
+def _sizes(ranks: bytes) -> np.ndarray:
+    """Bytes of every id."""
+    return np.array([len(t) for t in tables(ranks)[0]], dtype=np.int64)
+
+
+def merged(words: list[str], ranks: bytes) -> list[list[int]]:
+    """Ids of each word, from one call of the library. Tokens end where words end, so the bytes tell whose they are."""
+    made = tokenizer(ranks)
+    ids = made.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids
+    ends, sizes = np.cumsum(_sizes(ranks)[ids]), np.cumsum([len(w.encode()) for w in words])
+    if not ids or ends[-1] != sizes[-1]:  # a vocabulary without some byte
+        return [e.ids for e in made.encode_batch_fast(words, add_special_tokens=False)]
+    cuts = [0, *(np.searchsorted(ends, sizes) + 1).tolist()]
+    return [ids[i:j] for i, j in itertools.pairwise(cuts)]
+
+
 def decode(ids, by_id: list[bytes]) -> bytes:
     return b"".join([by_id[i] for i in ids])
 
@@ -90,9 +134,20 @@ def character_offsets(ids, text: str, by_id: list[bytes]) -> tuple[np.ndarray, n
 
 
 def _encode(texts: list[str], ranks: bytes, pattern: str) -> Iterator[list[int]]:
-    made = tokenizer(ranks, pattern)
+    known, split = remembered(ranks), splitter(pattern)
     for text in texts:
-        yield made.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else []
+        words = split(text)
+        new = list(set(words).difference(known))
+        of = known
+        if new:
+            ids = dict(zip(new, merged(new, ranks), strict=True))
+            if len(known) + len(new) > REMEMBERED:
+                of = {**{w: known[w] for w in words if w in known}, **ids}
+                known.clear()
+            else:
+                of = known if all(len(w) <= LONGEST for w in new) else collections.ChainMap(ids, known)
+            known.update((w, i) for w, i in itertools.islice(ids.items(), REMEMBERED) if len(w) <= LONGEST)
+        yield list(itertools.chain.from_iterable(map(of.__getitem__, words)))
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:

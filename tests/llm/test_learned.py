@@ -246,3 +246,16 @@ def test_pipeline(spark, tmp_path, bpe):
     for r in result:
         text = lines[r.doc_id] or ""
         assert r.n_tokens == len(bpe[3].encode_ordinary(text)) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_bpe_merges_each_word_once(bpe, monkeypatch):
+    path, pattern, _, reference = bpe
+    raw, seen, merge = open(path, "rb").read(), [], byte_bpe.merged
+    texts = ["one two  three\n", "three two one two", "", "x" * 200 + " one", "x" * 200 + " é世 one"]
+    want = [reference.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(byte_bpe, "merged", lambda words, ranks: seen.extend(words) or merge(words, ranks))
+    byte_bpe.remembered(raw).clear()
+    assert list(byte_bpe._encode(texts, raw, pattern)) == want
+    assert [seen.count(w) for w in (" two", " three", " one")] == [1, 1, 1] and seen.count("x" * 200) == 2  # too long to keep
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 3)  # the memory starts anew again and again
+    assert list(byte_bpe._encode(texts * 3, raw, pattern)) == want * 3 and len(byte_bpe.remembered(raw)) <= 9
