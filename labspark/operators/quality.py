@@ -73,8 +73,10 @@ def _pairs(df, quality, keys, extra, keep_keys: bool = True):
 
 
 def _match(df, quality, keys, extra) -> Match:
-    m, q = (side.dropna(subset=keys).distinct() for side in _sides(df, quality, keys, extra))
-    return Match(m.join(q.select(*keys).distinct(), keys, "left_semi"), q.join(m.select(*keys).distinct(), keys, "left_semi"), tuple(keys))
+    m, q = (side.dropna(subset=keys) for side in _sides(df, quality, keys, extra))
+    # rows and partners are dealt by the keys, which serves the distinct rows too; a dozen tables read the sides
+    m, q = (materialize(side.repartition(*keys).distinct(), "side") for side in (m.join(q.select(*keys), keys, "left_semi"), q.join(m.select(*keys), keys, "left_semi")))
+    return Match(m, q, tuple(keys))
 
 
 def sides_by_time(df: DataFrame, quality: DataFrame) -> Match:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from labspark.functions.predicates import in_range, status_ok, system_is
 from labspark.operators import quality as q
 from labspark.plans.base import usable_lab
+from labspark.session import materialize
 from labspark.spec import OBS_EXCLUDED, Spec
 
 
@@ -31,7 +32,7 @@ def _match_tables(base: DataFrame, match: q.Match, name: str) -> dict[str, DataF
 
 def sample_quality(base: DataFrame, lab: DataFrame, specimens: DataFrame | None, spec: Spec) -> dict[str, DataFrame]:
     """Every table of the sample-quality part. Tables of kinds without data come out empty."""
-    quality = quality_measurements(lab, spec)
+    quality = materialize(quality_measurements(lab, spec), "quality")
     out = {"quality_codes": q.quality_codes(quality)}
     out.update(_match_tables(base, q.sides_by_time(base, quality), "by_time"))
     out["basedon"] = q.basedon_report(base)
@@ -39,7 +40,7 @@ def sample_quality(base: DataFrame, lab: DataFrame, specimens: DataFrame | None,
     out["coded_results"] = q.coded_results(base)
     if specimens is not None:
         out["specimens"] = q.specimen_report(base, specimens.select("spec_id", "type", "condition", "condition_system").distinct())
-    text = notes(lab, spec)
+    text = materialize(notes(lab, spec), "notes")
     out["notes"] = q.notes_per_code(text)
     out["notes_main"] = q.notes_report(text, spec.note_snippets, codes=spec.main_codes)
     out["notes_quality"] = q.notes_report(text, spec.note_snippets, codes=spec.quality_codes)
