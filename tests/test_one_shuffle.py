@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from labspark.checks import composites, registry
-from labspark.operators import clean
+from labspark.operators import clean, resolve
 from labspark.operators.seek import Source, _both_ways, lookup
 from labspark.operators.units import drop_invalid, normalize_units
 from labspark.session import few, materialize
@@ -67,3 +67,17 @@ def test_regressions_build_one_study(spark, monkeypatch):
     monkeypatch.setattr(composites, "wide", lambda t, s=None: spark.range(1) if s or composites.study(t) else None)
     composites.regression_table(registry.Tables(spark, "/root/testdata/sf0.001"))
     assert len(calls) == 1
+
+
+def test_counted_references_are_not_shuffled_again(spark):
+    rows = spark.createDataFrame([(r,) for r in ["Encounter/1"] * 3 + ["Encounter/2", "Encounter/4", "Encounter/9", "Other/1", "1"] + [None] * 2], "encounter string")
+    encounters = spark.createDataFrame([(1, "main"), (2, None), (4, "sub"), (4, "main"), (None, "main")], "enc_id int, type string")
+    rows, encounters = materialize(rows, "rows"), materialize(encounters, "encounters")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = resolve.reference_types(rows, encounters)
+        assert plan_of(found).count("Exchange hashpartitioning") == 3  # references, encounters, types
+        got = {r["encounter_type"]: r["n"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {"main": 4, "sub": 1, "encounter_type_is_null": 1, "encounter_reference_without_match": 3, "no_encounter_reference": 2}
